@@ -1,0 +1 @@
+"""Stage plans and the queries over the driver's tables."""
