@@ -207,13 +207,13 @@ def consensus(df: DataFrame, settings: Settings = Settings(), **columns: str) ->
     labels = _label_rows(by_item, m, settings).select(
         F.col("item").alias("EIN2"), label.alias("label"), "posterior", "difficulty", "n_votes",
         F.when(F.col("posterior") > 0.5, y / n).otherwise(1 - y / n).alias("agreement"),
-        (F.lit(1.0) if chance >= 1 else (observed - chance) / (1 - chance)).alias("kappa"),
+        F.when(n > 1, F.lit(1.0) if chance >= 1 else (observed - chance) / (1 - chance)).alias("kappa"),
     )
     rows = []
     for name, a, b, x in zip(m.annotators, m.skill, m.lean, m.sums, strict=True):
-        sensitivity, specificity = x[6] / x[7] if x[7] else None, x[8] / x[9] if x[9] else None
+        sensitivity, specificity = float(x[6] / x[7]) if x[7] else None, float(x[8] / x[9]) if x[9] else None
         both = [v for v in (sensitivity, specificity) if v is not None]
-        rows.append((name, int(round(x[0])), float(a), float(b), sensitivity and float(sensitivity), specificity and float(specificity), float(sum(both) / len(both)) if both else None))
+        rows.append((name, int(round(x[0])), float(a), float(b), sensitivity, specificity, float(sum(both) / len(both)) if both else None))
     return Consensus(labels, spark.createDataFrame(rows, ANNOTATORS))
 
 

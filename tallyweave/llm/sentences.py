@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ from tallyweave.session import written
 
 #: A token is kept with its counts if it makes up this share of all sites, so at most 3 / KEPT rows reach the driver.
 KEPT = 5e-6
-#: Reliable sites the weights are fitted to: those of lowest hash, a bounded sample. All other steps use every text.
+#: About how many sites the weights are fitted to: the reliable ones of texts drawn by hash. All other steps use every text.
 SAMPLE = 40_000
 
 #: End marks, closing and opening signs, list markers.
@@ -44,6 +45,7 @@ _OPENERS = "\"'“„«‹「『（【([¿¡"
 _PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "‹": "›", "“": "”", "„": "“", "「": "」", "『": "』", "（": "）", "【": "】", "〈": "〉", "《": "》"}
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _THAI = regex.compile(r"\p{Thai}")
+_BLANKS = regex.compile(r"\s*")
 _NEXT = regex.compile(r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}'’&-]|\.(?=\p{L}))*")
 _PREV = regex.compile(r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}'’&-]|\.(?=[\p{L}\p{N}]))*$")
 _ENDED = regex.compile(r"""[.!?…。！？｡؟।॥۔](?:\s?["'”’»›」』）】)\]“])*$""")
@@ -96,24 +98,41 @@ def _following(text: str, at: int, end: int) -> tuple[str, str, str, str]:
     return first, f"{first} {_token(m2.group())}" if m2 else first, case, opener
 
 
-def _inside(text: str, start: int, end: int) -> np.ndarray:
-    """For each place of text[start:end], whether it is inside a bracket or quotation that is closed later."""
-    depth = np.zeros(end - start + 1, np.int32)
+_SIGN = regex.compile("[" + regex.escape("".join(_PAIRS) + "".join(_PAIRS.values()) + '"') + "]")
+
+
+def _inside(text: str, start: int, end: int) -> tuple[list[int], list[int]]:
+    """Outermost stretches inside brackets or quotations that are closed later: places after their openings, places of their closings."""
+    found: list[tuple[int, int]] = []
     open_: list[tuple[str, int]] = []
-    for i in range(start, end):
-        ch = text[i]
-        if open_ and any(c == ch for c, _ in open_) and not (ch == '"' and open_[-1][0] != '"' and not any(c == '"' for c, _ in open_)):
+    waiting: Counter[str] = Counter()
+    for m in _SIGN.finditer(text, start, end):
+        ch, i = m.group(), m.start()
+        if waiting[ch]:
             while open_:
                 closing, at = open_.pop()
+                waiting[closing] -= 1
                 if closing == ch:
-                    depth[at - start + 1] += 1
-                    depth[i - start + 1] -= 1
+                    found.append((at + 1, i))
                     break
-        elif ch in _PAIRS:
-            open_.append((_PAIRS[ch], i))
-        elif ch == '"':
-            open_.append(('"', i))
-    return np.cumsum(depth)
+        elif ch in _PAIRS or ch == '"':
+            open_.append((_PAIRS.get(ch, ch), i))
+            waiting[open_[-1][0]] += 1
+    found.sort()
+    begins: list[int] = []
+    stops: list[int] = []
+    for a, b in found:
+        if stops and a <= stops[-1]:
+            stops[-1] = max(stops[-1], b)
+        else:
+            begins.append(a)
+            stops.append(b)
+    return begins, stops
+
+
+def _within(inside: tuple[list[int], list[int]], at: int) -> bool:
+    k = bisect_right(inside[0], at) - 1
+    return k >= 0 and at <= inside[1][k]
 
 
 def pieces(text: str, headings: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
@@ -156,25 +175,33 @@ def pieces(text: str, headings: frozenset[str] = frozenset()) -> list[tuple[int,
     return done
 
 
+def _unspaced(text: str, start: int, i: int, j: int) -> bool:
+    """Whether a stop at text[i:j] with a letter or digit right after it may end a sentence whose blank is missing."""
+    nxt = text[j]
+    if nxt.isdigit() or nxt.islower():
+        return False
+    word = i - 3 >= start and text[i - 3 : i].isalnum()
+    if nxt.isupper():
+        return text[j + 1 : j + 2].islower() and (text[i - 1].islower() or text[i - 1].isdigit()) or word and text[j + 1 : j + 2].isalpha()
+    return word  # a script without case
+
+
 def sites(text: str, span: tuple[int, int, int], following: int, stop: int) -> Iterator[Site]:
     """Candidates of a piece; ``following`` is where the text goes on after it, for the one at its end."""
     a, body, b = span
     inside = None
-    letters = [c for c in text[a : min(b, a + 400)] if c.isalpha()]
     for m in _MARK.finditer(text, body, b):
         i, j = m.start(), m.end()
         mark = m.group()
-        if mark == "." and i > a and j < b and text[i - 1].isalnum() and text[j].isalnum() and not (text[j].isupper() and text[j + 1 : j + 2].islower() and text[i - 1].islower()):
-            continue
-        if mark == "." and j < b and (text[j].isdigit() or text[j].islower()):
+        if mark == "." and j < b and text[j].isalnum() and not _unspaced(text, a, i, j):
             continue
         # closing signs, also after the narrow blank of French
         k = j
         if inside is None:
             inside = _inside(text, a, b)
         while k < b:
-            if text[k] in _CLOSERS and not (text[k] in "\"'“" and inside[k - a] <= 0 and k + 1 < b and text[k + 1].isalnum()):
-                if text[k] == '"' and inside[k - a] <= 0:
+            if text[k] in _CLOSERS and not (text[k] in "\"'“" and not _within(inside, k) and k + 1 < b and text[k + 1].isalnum()):
+                if text[k] == '"' and not _within(inside, k):
                     break
                 k += 1
             elif text[k] in "   " and text[k + 1 : k + 2] in ("»", "›") and k + 1 < b:
@@ -184,11 +211,10 @@ def sites(text: str, span: tuple[int, int, int], following: int, stop: int) -> I
         if _MARK.match(text, k):  # another mark follows the closing signs
             continue
         last = k >= b
-        if not last and inside[min(k, b - 1) - a] > 0 and inside[k - a] > 0:
+        if not last and _within(inside, k):
             continue
-        gap = text[k:b] if not last else ""
-        blank = gap[: len(gap) - len(gap.lstrip())]
-        if not last and not blank and text[k] not in _OPENERS and not _CJK.match(text[k]) and not text[k].isupper() and mark in (".", "..."):
+        blank = _BLANKS.match(text, k, b).group() if not last else ""
+        if not last and not blank and text[k] not in _OPENERS and not _CJK.match(text[k]) and not (text[k].isalpha() and not text[k].islower()) and mark in (".", "..."):
             continue
         nxt, pair, case, opener = _following(text, following if last else k, stop if last else b)
         before = text[max(a, i - 48) : i].rstrip().rstrip("\"'”’»›」』）】)]").rstrip()
@@ -203,7 +229,7 @@ def sites(text: str, span: tuple[int, int, int], following: int, stop: int) -> I
             kind = "spaced"
         tail = f"{prev}{mark}{closer}"
         begun = text[i - len(prev) : i - len(prev) + 1]
-        caps = len(letters) > 0 and begun.isupper() and text[i - 1 : i].isupper() and len(prev) > 2
+        caps = begun.isupper() and text[i - 1 : i].isupper() and len(prev) > 2
         yield Site(k, prev, tail, f"{prev}{mark}".lower(), nxt, pair, kind, closer[-1:], "none" if not blank else "line" if _LINE.search(blank) else "wide" if len(blank) > 1 else "blank", case, opener, caps, len(prev), last)
 
 
@@ -218,53 +244,46 @@ def _suffix(s: Site) -> str:
     return "~" + s.tail[-(len(s.tail) - len(s.prev) + 3) :] if len(s.prev) > 3 else "~" + ("A" if len(s.prev) == 1 and s.prev.isalpha() else "") + s.tail[len(s.prev) :]
 
 
-def _emit(edge: Counter, other: Counter) -> pa.RecordBatch:
-    keys = list(edge.keys() | other.keys())
-    kind, token = zip(*keys, strict=True) if keys else ((), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(kind), pa.string()), pa.array(list(token), pa.string()), pa.array([edge[k] for k in keys], pa.int64()), pa.array([other[k] for k in keys], pa.int64())], names=["kind", "token", "edge", "other"]
-    )
-
-
-COUNTS = "kind string, token string, edge long, other long"
+SEEN = "kind string, tail string, bare string, suffix string, next string, pair string, last boolean, n long"
 
 
-def _count_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens before marks, at paragraph ends and elsewhere; short unmarked paragraphs."""
-    edge: Counter[tuple[str, str]] = Counter()
-    other: Counter[tuple[str, str]] = Counter()
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The one pass over the texts that counts: candidates by what stands around them, paragraph starts, short unmarked paragraphs."""
+    n: Counter[tuple] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
             for span in pieces(text):
                 line = text[span[0] : span[2]]
-                if len(line) <= 60 and "\n" not in line and span[0] == span[1] and not _ENDED.search(line):
-                    edge["h", line] += 1
+                if span[0] == span[1]:
+                    first, pair, _, _ = _following(text, span[1], span[2])
+                    if first:
+                        n["start", "", "", "", first, pair, True] += 1
+                    if len(line) <= 60 and "\n" not in line and not _ENDED.search(line):
+                        n["line", line, "", "", "", "", True] += 1
                 for s in sites(text, span, len(text), len(text)):
-                    into = edge if s.last else other
-                    into["p", s.tail.lower()] += 1
-                    into["q", s.bare] += 1
-                    into["s", _suffix(s)] += 1
-    yield _emit(edge, other)
+                    n["site", s.tail.lower(), s.bare, _suffix(s), "" if s.last else s.next, "" if s.last else s.pair, s.last] += 1
+        if len(n) > 300_000:
+            yield _rows(n)
+            n.clear()
+    yield _rows(n)
+
+
+def _rows(n: Counter) -> pa.RecordBatch:
+    columns = list(zip(*n, strict=True)) if n else [()] * 7
+    types = [pa.string()] * 6 + [pa.bool_()]
+    return pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(columns, types, strict=True)), pa.array(list(n.values()), pa.int64())], names=[f.split(" ")[0] for f in SEEN.split(", ")])
 
 
-def _count_after(model: Model):
-    """Tokens at paragraph starts, and after marks elsewhere unless an abbreviation stands before the mark."""
+def _after(model: Model):
+    """Of counted candidates: the tokens after marks, unless an abbreviation stands before the mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge: Counter[tuple[str, str]] = Counter()
-        other: Counter[tuple[str, str]] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for span in pieces(text):
-                    first, pair, _, _ = _following(text, span[1], span[2])
-                    if first and span[0] == span[1]:
-                        edge["n", first] += 1
-                        edge["m", pair] += 1
-                    for s in sites(text, span, len(text), len(text)):
-                        if not s.last and s.next and model.before(s)[0] > -1.6:
-                            other["n", s.next] += 1
-                            other["m", s.pair] += 1
-        yield _emit(edge, other)
+            c = {name: batch.column(name).to_pylist() for name in ("kind", "tail", "bare", "suffix", "next", "pair", "n")}
+            keep = [k for k in range(batch.num_rows) if c["next"][k] and (c["kind"][k] == "start" or model.before_of(c["tail"][k], c["bare"][k], c["suffix"][k])[0] > -1.6)]
+            pick = lambda name: pa.array([c[name][k] for k in keep], pa.int64() if name == "n" else pa.string())  # noqa: B023, E731
+            edge = pa.array([c["kind"][k] == "start" for k in keep], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pick("next"), pick("pair"), edge, pick("n")], names=["next", "pair", "last", "n"])
 
     return run
 
@@ -293,12 +312,15 @@ class Model:
         share = self.share[kind]
         return max(-6.0, min(2.0, math.log((e + 4 * share) / (e + o + 4) / share))), True
 
+    def before_of(self, tail: str, bare: str, suffix: str) -> tuple[float, bool]:
+        """Odds of the token before the mark: with the closing signs after it if these are common, else without; initials all together."""
+        if suffix.startswith("~A"):
+            return self.odds("s", suffix)
+        p, known = self.odds("p", tail)
+        return (p, known) if known else self.odds("q", bare)
+
     def before(self, s: Site) -> tuple[float, bool]:
-        """Odds of the token before the mark: with the closing signs after it if these are common, else without."""
-        if s.letters == 1 and s.prev.isalpha():  # initials: all letters together
-            return self.odds("s", _suffix(s))
-        p, known = self.odds("p", s.tail.lower())
-        return (p, known) if known else self.odds("q", s.bare)
+        return self.before_of(s.tail.lower(), s.bare, _suffix(s))
 
     def never(self, kind: str, token: str) -> bool:
         """A token that would surely have been seen at an edge if it could stand there."""
@@ -369,53 +391,44 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 4
 
 def learn(texts: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of a column of texts (first column, no nulls)."""
+    text = F.col(texts.columns[0])
+    seen = written(texts.mapInArrow(_look, SEEN).groupBy("kind", "tail", "bare", "suffix", "next", "pair", "last").agg(F.sum("n").alias("n")), "sentence-sites")
+    total = seen.filter("kind = 'site'").agg(F.sum("n")).first()[0] or 0
     by: dict[str, dict[str, tuple[int, int]]] = defaultdict(dict)
-    total = 0
-
-    def gather(run) -> None:
-        nonlocal total
-        counts = written(texts.mapInArrow(run, COUNTS).groupBy("kind", "token").agg(F.sum("edge").alias("edge"), F.sum("other").alias("other")), "sentence-counts")
-        n = F.col("edge") + F.col("other")
-        total = total or counts.filter("kind = 's'").agg(F.sum(n)).first()[0] or 0
-        for r in counts.filter(n >= max(3, KEPT * total)).collect():
-            by[r["kind"]][r["token"]] = (r["edge"], r["other"])
-
-    gather(_count_before)
-    gather(_count_after(Model(dict(by), frozenset())))
+
+    def gather(rows: DataFrame, **kinds: str) -> None:
+        long = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("t")) for k, c in kinds.items()])).alias("e"), "last", "n").select("e.*", "last", "n")
+        sums = long.groupBy("k", "t").agg(F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("edge"), F.sum(F.when(F.col("last"), 0).otherwise(F.col("n"))).alias("other"))
+        for r in sums.filter(F.col("edge") + F.col("other") >= max(3, KEPT * total)).collect():
+            by[r["k"]][r["t"]] = (r["edge"], r["other"])
+
+    gather(seen.filter("kind = 'site'"), p="tail", q="bare", s="suffix")
+    gather(seen.filter("kind = 'line'"), h="tail")
     headings = frozenset(t for t, (e, _) in by.pop("h", {}).items() if e >= max(5, 2e-5 * total))
+    gather(seen.filter("kind != 'line'").mapInArrow(_after(Model(dict(by), frozenset())), "next string, pair string, last boolean, n long"), n="next", m="pair")
     model = Model(dict(by), headings)
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            x, y, h = [], [], []
-            for text in batch.column(0).to_pylist():
-                for k, s in enumerate(_walk(text, m.headings)):
-                    label = m.reliable(s)
-                    if label is not None:
-                        x.append(m.features(s))
-                        y.append(label)
-                        h.append(hash_of(text, k))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(h, pa.int64())], names=["x", "y", "h"])
-
-    # about as many rows as wanted, by a threshold on the hash: no sort and nothing unbounded on the driver
+            x, y = [], []
+            for t in batch.column(0).to_pylist():
+                found = [(m.features(s), label) for s in _walk(t, m.headings) if (label := m.reliable(s)) is not None]
+                for features, label in found[:: 1 + len(found) // 1000]:
+                    x.append(features)
+                    y.append(label)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
+
+    # Whole texts are drawn by their hash, each different text once, so that about ``sample`` sites come: a few thousand texts.
     share = min(1.0, sample / max(1, total))
-    got = texts.mapInArrow(rows, "x array<double>, y int, h long").filter(F.col("h") < int(share * (1 << 60))).limit(2 * sample).collect()
-    got.sort(key=lambda r: r["h"])
-    if got:
-        model.weights = fit_weights(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))
-    else:
-        model.weights = fit_weights(np.zeros((0, len(FEATURES))), np.zeros(0))
+    drawn = texts.filter(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+    got = sorted(drawn.mapInArrow(rows, "x array<double>, y int").collect(), key=lambda r: (r["y"], r["x"]))
+    x = np.array([r["x"] for r in got]) if got else np.zeros((0, len(FEATURES)))
+    model.weights = fit_weights(x, np.array([r["y"] for r in got], float))
     return model
 
 
-def hash_of(text: str, k: int) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(f"{k}:{text[:200]}:{len(text)}") >> 4
-
-
 def split(text: str | None, model: Model) -> list[tuple[int, int]]:
     """Units of a text as (start, end) in code points, end exclusive; null and blank texts have none."""
     if not text:

@@ -38,13 +38,14 @@ def test_truncation_on_planted_cuts(spark):
     extra = [None, "", "  ", "N/A", "N/A", "N/A", "N/A", "N/A", "We provide hot mea�", "x" * 50_000]
     rows += [(n + k, f"9{k:08d}", t, None, None if k % 2 else "full") for k, t in enumerate(extra)]
     df = spark.createDataFrame(rows, FRAME)
-    got = {r["id"]: r for r in truncation.truncation(df, "rec_id", "t", "s", "y", "EIN2").collect()}
+    judged = truncation.truncation(df, "rec_id", "t", "s", "y", "EIN2").cache()
+    got = {r["id"]: r for r in judged.collect()}
     found = {i for i, r in got.items() if r["cut"] and i < n}
     assert len(found & cut) / len(cut) > 0.95 and len(found & cut) / len(found) > 0.95
     assert n not in got and n + 1 not in got and n + 2 not in got and not got[n + 3]["cut"] and got[n + 8]["cut"]
     whole = [i for i in range(n) if rows[i][2].endswith(".")]
     assert not any(got[i]["cut"] for i in whole)
-    rep = {r["source"]: r for r in truncation.report(truncation.truncation(df, "rec_id", "t", "s", "y", "EIN2")).collect()}
+    rep = {r["source"]: r for r in truncation.report(judged).collect()}
     assert rep["short"]["n_at_limit"] > rep["full"]["n_at_limit"] == 0
 
 
