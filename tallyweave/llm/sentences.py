@@ -72,8 +72,11 @@ class Site:
 
 
 def _token(word: str) -> str:
+    """Small letters; numbers by their number of digits, as days and years stand in other places."""
     w = word.lower()
-    return "<num>" if w[0].isdigit() and all(c.isdigit() or not c.isalpha() for c in w) else w
+    if not w[0].isdigit() or any(c.isalpha() for c in w):
+        return w
+    return f"<{min(len(w), 5)}>" if w.isdigit() else "<num>"
 
 
 def _following(text: str, at: int, end: int) -> tuple[str, str, str, str]:
@@ -336,7 +339,7 @@ class Model:
             1.0, p, float(p_known), 0.0 if p_known else suffix, float(not p_known and s_known), n, float(n_known), m, float(m_known),
             float(s.mark == "cry"), float(s.mark == "dots"), float(s.mark == "spaced"),
             float(s.closer in ")]）】" and bool(s.closer)), float(bool(s.closer) and s.closer not in ")]）】"),
-            float(s.letters == 1), float(s.letters == 2), float("." in s.prev), float(s.prev == "<num>"), float(s.next == "<num>"),
+            float(s.letters == 1), float(s.letters == 2), float("." in s.prev), float(s.prev.startswith("<")), float(s.next.startswith("<")),
             float(s.opener in "¿¡" and bool(s.opener)), float(bool(s.opener) and s.opener not in "¿¡"), float(s.case == "none"), float(s.caps),
         ]
 
