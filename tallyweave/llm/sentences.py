@@ -38,7 +38,7 @@ SAMPLE = 40_000
 _NL = r"(?:\r\n|[\n\r\x85  ])"
 _PARAGRAPH = regex.compile(rf"(?:[^\S\r\n\x85  ]*{_NL}){{2,}}\s*")
 _LINE = regex.compile(_NL)
-_ITEM = regex.compile(r"[^\S\r\n]*(?:[-*•‣▪◦·–—]|\(?\p{Nd}{1,3}[.)]|\(?[A-Za-z][.)])[^\S\r\n]+(?=\S)")
+_ITEM = regex.compile(r"[^\S\r\n]*(?:[-*•‣▪◦·–—]|\(?\p{Nd}{1,3}[.)]|\(?[A-Za-z]\)|[a-e]\.)[^\S\r\n]+(?=\S)")
 _MARK = regex.compile(r"[.!?…。！？｡．؟।॥۔⁇⁈⁉‼]+")
 _CLOSERS = "\"'”’»›」』）】)]“"
 _OPENERS = "\"'“„«‹「『（【([¿¡"
