@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from tallyweave.functions import lexicon as L
 
 
+#: A word character, its absence before and after, as Python's patterns understand them.
+WORD = r"[\p{L}\p{N}_]"
+START, END = rf"(?<!{WORD})", rf"(?!{WORD})"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def any_term(terms: Iterable[str]) -> str:
     """One pattern for any whole term, case-insensitive, with Unicode word boundaries."""
-    return r"(?iU)(?<!\w)(?:" + "|".join(re.escape(t).replace(r"\-", "-").replace(r"\ ", " ") for t in terms) + r")(?!\w)"
+    return f"(?iU){START}(?:" + "|".join(re.escape(t).replace(r"\-", "-").replace(r"\ ", " ") for t in terms) + f"){END}"
 
 
 def has_any(col: Column | str, terms: Iterable[str]) -> Column:
@@ -26,7 +31,7 @@ def has_any(col: Column | str, terms: Iterable[str]) -> Column:
 
 
 def has_pattern(col: Column | str, patterns: Iterable[str]) -> Column:
-    return F.coalesce(_col(col), F.lit("")).rlike(r"(?iU)\b(?:" + "|".join(patterns) + ")")
+    return F.coalesce(_col(col), F.lit("")).rlike(f"(?iU){START}(?:" + "|".join(p.replace(r"\b", END) for p in patterns) + ")")
 
 
 def word_list(col: Column | str) -> Column:
@@ -79,7 +84,7 @@ def route(col: Column | str, tier_col: Column | str, low_to_rules: bool = True,
 def boundary_class(col: Column | str) -> Column:
     """First of saint, spiritual, ministry, faith_heritage and boilerplate_religious that fits, else none."""
     t = F.lower(F.coalesce(_col(col), F.lit("")))
-    has = lambda p: t.rlike(rf"(?U)\b(?:{p})")
+    has = lambda p: t.rlike(rf"(?U){START}(?:{p})".replace(r"\w", WORD).replace(r"\b", END))
     words = lambda w: "(?:" + w + r")\b"
     saint = has(r"st\.?\s+\w+|saint\s+\w+") & ~has(words("church|diocese|catholic|parish|christian"))
     spirit = has(words("spiritual")) & ~has(words("christ|christian|jesus|gospel|bible|church|synagogue|mosque|temple|islam|muslim|jewish|hindu|buddhist"))
@@ -113,7 +118,7 @@ def text_key(col: Column | str, missing: str = "\u0000missing") -> Column:
 
 def tokens(col: Column | str, stopwords: Iterable[str] = ()) -> Column:
     """Lower-case words of two characters or more, stop words taken out before n-grams are formed."""
-    t = F.regexp_extract_all(F.lower(F.coalesce(_col(col), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    t = F.regexp_extract_all(F.lower(F.coalesce(_col(col), F.lit(""))), F.lit(WORD + "{2,}"), F.lit(0))
     stop = list(stopwords)
     return F.filter(t, lambda x: ~x.isin(stop)) if stop else t
 
@@ -122,8 +127,12 @@ def ngrams(words: Column, low: int = 1, high: int = 1) -> Column:
     """All n-grams of low to high words, joined by blanks."""
     size = F.size(words)
     parts = []
+
+    def at(n: int):  # a closure: a second parameter of the lambda would get the index
+        return lambda i: F.array_join(F.slice(words, i, n), " ")
+
     for n in range(low, high + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), at(n))
         parts.append(F.when(size >= n, grams).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)
 
@@ -169,7 +178,7 @@ def lexicon_tokens(col: Column | str, words: Iterable[str]) -> Column:
 def conflict_categories(name: Column | str, no_flags: Column) -> Column:
     """Review cues of a name, as an array; a saint's name counts only where no external flag is set."""
     c = F.coalesce(_col(name), F.lit(""))
-    has = lambda p: c.rlike(r"(?iU)" + p)
+    has = lambda p: c.rlike(r"(?iU)" + p.replace(r"\b(?:", START + "(?:").replace(r"\b", END).replace(r"\w", WORD))
     cues = [
         ("saint_name", has(r"\b(?:st\.?|saint)\s+\w+") & no_flags),
         ("faith_heritage", has(r"\b(?:faith|grace|trinity|covenant|heritage)\b")),

@@ -31,8 +31,12 @@ def soft_targets(df: DataFrame, p: str) -> DataFrame:
 def char_grams(col: Column | str, low: int = 3, high: int = 5) -> Column:
     """Character n-grams inside blank-padded words."""
     words = F.transform(tokens(col), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    one = lambda w: F.flatten(F.array(*[F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]))
-    return F.flatten(F.transform(words, one))
+
+    def of(w: Column, n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+        return F.when(F.length(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(words, lambda w: F.flatten(F.array(*[of(w, n) for n in range(low, high + 1)]))))
 
 
 def with_terms(df: DataFrame, text: str) -> DataFrame:

@@ -6,7 +6,7 @@ from tallyweave.functions import lexicon as L
 from tallyweave.operators.keyness import STOPWORDS
 from tallyweave.plans.queries import SOURCES
 
-W = r"\p{L}\p{M}\p{N}\p{Pc}\x{200c}\x{200d}"
+W = r"\p{L}\p{N}_"
 BLANK = r"[\s\p{Z}\x0b\x{85}]"
 
 
@@ -29,7 +29,7 @@ def hit(c: str, words) -> str:
 
 
 def pat(c: str, patterns) -> str:
-    p = "|".join(x.replace(r"\s", BLANK) for x in patterns)
+    p = "|".join(x.replace(r"\s", BLANK).replace(r"\b", f"([^{W}]|$)") for x in patterns)
     return f"regexp_matches(coalesce({c}, ''), '(^|[^{W}])({p})', 'i')"
 
 
@@ -257,7 +257,7 @@ def oracle_sql() -> dict[str, str]:
         "design_weights": f"with {EVAL} select EIN2, round(w / avg(w) over (), 9) as weight from ev",
         "apply_calibration": f"with {SCORED}, l as (select EIN2, ln(least(greatest(p, 1e-12), 1 - 1e-12) / (1 - least(greatest(p, 1e-12), 1 - 1e-12))) as x from scored) select EIN2, round(1 / (1 + exp(-(0.417 * x + 0.841))), 6) as platt, round(1 / (1 + exp(-x / 1.7)), 6) as temperature, round(x, 6) as logit from l",
         "thresholded_labels": f"with {SAMPLE}, x as (select sample_id, p, {ROUTE} as s from sam) select sample_id, s as decision_source, " + ", ".join(f"case s when 'rule_strong_positive' then 1 when 'rule_short_negative' then 0 else (p >= {t})::int end as {k}" for k, t in (("pred_label", 0.5), ("pred_label_maxf1", 0.7), ("pred_label_baserate", 0.9))) + " from x",
-        "rogan_gladen_by_group": f"with {SAMPLE}, x as (select tier, {rule('mission_text')} as v from sam), o as (select tier, count(*)::double as n, avg(v::double) as o from x where v is not null group by 1), a as (select *, 0.8462 + 0.95 - 1 as den, (o + 0.95 - 1) / (0.8462 + 0.95 - 1) as at from o) select tier, n, round(o, 6) as observed, round(least(1, greatest(0, at)), 6) as estimate, round((o * (1 - o) / n + at * at * 0.8462 * (1 - 0.8462) / 13 + (1 - at) * (1 - at) * 0.95 * (1 - 0.95) / 54) / (den * den), 6) as variance, true as corrected from a",
+        "rogan_gladen_by_group": f"with {SAMPLE}, x as (select tier, {rule('mission_text')} as v from sam), o as (select tier, count(*)::double as n, avg(v::double) as o from x where v is not null group by 1), a as (select *, 0.8462 + 0.95 - 1 as den, (o + 0.95 - 1) / (0.8462 + 0.95 - 1) as x from o) select tier, n, round(o, 6) as observed, round(least(1, greatest(0, x)), 6) as estimate, round((o * (1 - o) / n + x * x * 0.8462 * (1 - 0.8462) / 13 + (1 - x) * (1 - x) * 0.95 * (1 - 0.95) / 54) / (den * den), 6) as variance, true as corrected from a",
         "ppi_overall": f"with {EVAL}, {ppi(weight='w')} select {PPI_OUT} from est",
         "ppi_by_group": f"with {EVAL}, {ppi('grp')} select grp, {PPI_OUT} from est",
         "prevalence_by_group": f"with {EVAL}, {ppi('grp')}, gs as (select distinct grp from scored), k as (select grp, count(*) as k from ev group by 1) select gs.grp, coalesce(k, 0) as n_anchor, case when coalesce(k, 0) < 8 then 'not estimated' else 'ppi' end as estimator, " + ", ".join(f"case when coalesce(k, 0) >= 8 then round(least(1, greatest(0, {x})), 6) end as {n}" for n, x in (("estimate", "e"), ("ci_lower", f"e - {Z} * sqrt(v)"), ("ci_upper", f"e + {Z} * sqrt(v)"))) + ", coalesce(k, 0) < 8 as suppressed from gs left join k on k.grp = gs.grp left join est on est.grp = gs.grp",

@@ -23,7 +23,7 @@ def test_ids(spark, raw, want):
     "text,q",
     [
         ("Provide housing for children, families and veterans. We support art, music.", 6.0 - 0.5),
-        ("", -1.0), (None, -1.0), ("general charitable purposes", 0.5 - 2.0), ("church", -1.0), ("support seniors with meals in the city", 0.5 + 4),
+        ("", -1.0), (None, -1.0), ("general charitable purposes", -2.0 - 1.0), ("for general charitable purposes", 0.5 - 2.0), ("church", -1.0), ("support seniors with meals in the city", 0.5 + 4),
     ],
 )
 def test_quality(spark, text, q):
