@@ -109,3 +109,11 @@ def select_arm(cells: DataFrame, name: str, value: str, order: list[str]) -> Dat
 def rank_within(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """``place`` in a ranked slate, nulls last; for tables of candidates."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
+
+
+def slate(scores: DataFrame, name: str, f1: str, kappa: str, f1_low: str, least: float = 0.7) -> DataFrame:
+    """Candidates in ranked order with ``selected``: kappa and the lower bound of F1 at the floor; if none reaches it, the best by F1."""
+    ok = (F.col(kappa) >= least) & (F.col(f1_low) >= least)
+    placed = rank_within(scores, [], [F.desc_nulls_last(f1), F.desc_nulls_last(kappa), F.asc(name)])
+    some = F.max(F.coalesce(ok, F.lit(False))).over(Window.partitionBy(F.lit(0)))
+    return placed.withColumn("selected", F.when(some, F.coalesce(ok, F.lit(False))).otherwise(F.col("place") == 1))

@@ -290,6 +290,11 @@ def oracle_sql() -> dict[str, str]:
         "soft_targets": f"with {SCORED}, t as (select 1.0::double as label, p as weight from scored union all select 0.0, 1 - p from scored) select label, count(*) as n, round(sum(weight), 6) as weight from t where weight > 0 group by 1",
         "label_issues": f"with {EVAL}, t as (select avg(p) filter (where y = 1) as t1, avg(1 - p) filter (where y = 0) as t0 from ev) select EIN2 from ev, t where (y = 0 and p >= t1 and p > 0.5) or (y = 1 and 1 - p >= t0 and p < 0.5)",
         "pruned_arm": f"with {EVAL}, t as (select avg(p) filter (where y = 1) as t1, avg(1 - p) filter (where y = 0) as t0 from ev) select y, count(*) as n from ev, t where not (((y = 0 and p >= t1 and p > 0.5) or (y = 1 and 1 - p >= t0 and p < 0.5)) and p > 0.34 and p < 0.66) group by 1",
+        "training_frame": f"with {VOTES}, {MAJ}, {SAMPLE}, {TEXTS}, t as (select EIN2, min(t) as t from texts where trim(t) <> '' group by 1), s as (select EIN2, round(avg(label::double), 6) as p_pos from votes where label is not null group by 1) select m.EIN2, md5(t) as text_md5, p_pos, label as hard_label from majority m join t on t.EIN2 = m.EIN2 join s on s.EIN2 = m.EIN2 where label is not null and m.EIN2 not in (select EIN2 from sam where split <> 'train' and EIN2 is not null)",
+        "annotator_slate": f"with {EVAL}, c as (select source_id, {CELLS.format(p='label')} from votes v join ev on ev.EIN2 = v.EIN2 where label is not null group by 1), e as (select {EXTRA} from c), b as (select source_id, {BUNDLE} from e), w as (select source_id, f1, kappa, round({WILSON('(2 * tp)', '(2 * tp + fp + fn)', '-')}, 6) as f1_low from b), o as (select *, row_number() over (order by f1 desc nulls last, kappa desc nulls last, source_id) as place, coalesce(kappa >= 0.6 and f1_low >= 0.6, false) as ok from w) select source_id, f1, kappa, f1_low, place, case when max(ok::int) over () = 1 then ok else place = 1 end as selected from o",
+        "high_confidence": f"with {SCORED} select grp, count(*) as n, round(avg(p), 6) as mean_p from scored where p <= 0.2 or p >= 0.8 group by 1",
+        "low_estimate": f"with {EVAL}, {SAMPLE}, {ppi()}, r as (select {rule('mission_text')} as v from sam where tier = 'LOW'), g as (select count(*)::double as n, avg(v::double) as o from r where v is not null), x as (select n, o, (o + 0.95 - 1) / (0.8462 + 0.95 - 1) as x, 0.8462 + 0.95 - 1 as den from g), parts as (select 'classifier' as part, big as n, least(1, greatest(0, e)) as estimate, v as variance from est union all select 'rules', n, least(1, greatest(0, x)), (o * (1 - o) / n + x * x * 0.8462 * (1 - 0.8462) / 13 + (1 - x) * (1 - x) * 0.95 * (1 - 0.95) / 54) / (den * den) from x), allp as (select * from parts union all select 'composite', sum(n), sum(n * estimate) / sum(n), sum(n * n * variance) / (sum(n) * sum(n)) from parts) select part, n, round(estimate, 6) as estimate, round(variance, 6) as variance from allp",
+        "prevalence_decomposition": f"with {SAMPLE}, x as (select tier, {rule('mission_text')} as v from sam), o as (select tier, count(*)::double as n, avg(v::double) as o from x where v is not null group by 1) select tier, n, round(o, 6) as estimate, round(n / sum(n) over (), 6) as share, round(n / sum(n) over () * o, 6) as contribution from o",
         "stage_gates": f"with {EVAL}, {SAMPLE} select 'train_anchor_disjoint' as gate, (select count(*) from (select EIN2 from sam where split = 'train' and EIN2 is not null intersect select EIN2 from sam where split = 'anchor')) as problems union all select 'sample_id_unique', (select count(*) from (select sample_id from sam group by 1 having count(*) > 1)) union all select 'tiers_known', (select count(*) from sam where tier not in ('HIGH', 'MEDIUM', 'LOW')) union all select 'votes_in_range', (select count(*) from votes where confidence < 0 or confidence > 1) union all select 'labels_binary', (select count(*) from ev where y not in (0, 1))",
     }
     return shard

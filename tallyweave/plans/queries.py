@@ -775,6 +775,48 @@ def stage_prevalence(spark, d):
     return rounded(stages.prevalence_report(views.evaluation(spark, d), views.scored(spark, d)))
 
 
+@query
+def training_frame(spark, d):
+    v = views.votes(spark, d)
+    t = _texts(spark, d).filter("trim(t) != ''").groupBy("EIN2").agg(F.min("t").alias("text"))
+    held = views.sample(spark, d).filter("split != 'train' and EIN2 is not null")
+    x = stages.training_frame(v, V.majority_vote(v, "EIN2", "label", "confidence"), t, held)
+    return rounded(x.select("EIN2", F.md5("text").alias("text_md5"), "p_pos", "hard_label"))
+
+
+@query
+def annotator_slate(spark, d):
+    v = views.votes(spark, d).filter("label is not null").join(views.evaluation(spark, d).select("EIN2", "y"), "EIN2")
+    m = metrics.metric_bundle(v, "y", "label", ["source_id"])
+    low = S.wilson((F.col("tp") * 2).cast("double"), (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double"))["low"]
+    m = rounded(m.withColumn("f1_low", low)).select("source_id", "f1", "kappa", "f1_low")
+    return ml.slate(m, "source_id", "f1", "kappa", "f1_low", 0.6)
+
+
+@query
+def high_confidence(spark, d):
+    x = views.scored(spark, d).filter((F.col("p") <= 0.2) | (F.col("p") >= 0.8))
+    return x.groupBy("grp").agg(F.count("*").alias("n"), r(F.avg("p")).alias("mean_p"))
+
+
+@query
+def low_estimate(spark, d):
+    rules = views.sample(spark, d).filter("tier = 'LOW'").withColumn("label", T.rule_label("mission_text"))
+    e = stages.low_estimate(views.evaluation(spark, d), views.scored(spark, d), rules, 0.8462, 13, 0.95, 54)
+    return rounded(e)
+
+
+@query
+def prevalence_decomposition(spark, d):
+    rules = views.sample(spark, d).withColumn("label", T.rule_label("mission_text"))
+    return rounded(stages.decomposition(prevalence.rule_share(rules, "label", None, 0, None, 0, by=["tier"]).select("tier", "n", "estimate")))
+
+
+@query
+def acceptance(spark, d):
+    return rounded(stages.acceptance(views.evaluation(spark, d)), 3)
+
+
 @query
 def stage_gates(spark, d):
     return stages.gates(views.sample(spark, d), views.votes(spark, d), views.evaluation(spark, d))

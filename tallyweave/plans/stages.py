@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import lexicon as L
@@ -14,6 +14,7 @@ from tallyweave.functions import text as T
 from tallyweave.functions.scores import platt, temperature
 from tallyweave.operators import metrics, prevalence, sampling
 from tallyweave.operators.relations import dedup_first, expand_back
+from tallyweave.operators.votes import vote_share
 from tallyweave.session import cut_lineage
 
 
@@ -81,6 +82,38 @@ def evaluation_report(df: DataFrame) -> DataFrame:
     return out.select("section", "metric", "value")
 
 
+def training_frame(votes: DataFrame, consensus: DataFrame, texts: DataFrame, held_out: DataFrame) -> DataFrame:
+    """``EIN2, text, p_pos, hard_label``: records with a consensus label, their vote share and text, without any held-out record."""
+    share = vote_share(votes, "EIN2", "label").select("EIN2", "p_pos")
+    kept = consensus.filter("label is not null").select("EIN2", F.col("label").alias("hard_label")).join(held_out.select("EIN2").distinct(), "EIN2", "left_anti")
+    return kept.join(share, "EIN2").join(texts.select("EIN2", "text"), "EIN2").select("EIN2", "text", "p_pos", "hard_label")
+
+
+def low_estimate(anchor: DataFrame, routed: DataFrame, rules: DataFrame, se: float | None, n_se: float, sp: float | None, n_sp: float) -> DataFrame:
+    """The share in the LOW tier: rows routed to the classifier by the prediction-powered mean, rule rows by their corrected share,
+    put together by their numbers of rows; one row per part and one for the whole."""
+    a = prevalence.ppi(anchor, routed, "y", "p").select(F.lit("classifier").alias("part"), F.col("n_corpus").alias("n"), "estimate", "variance")
+    b = prevalence.rule_share(rules, "label", se, n_se, sp, n_sp).select(F.lit("rules").alias("part"), "n", "estimate", "variance")
+    parts = cut_lineage(a.unionByName(b))
+    whole = prevalence.composite(parts).select(F.lit("composite").alias("part"), "n", "estimate", "variance")
+    return parts.unionByName(whole)
+
+
+def decomposition(parts: DataFrame) -> DataFrame:
+    """What each part adds to the whole: its share of rows times its estimate."""
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return parts.withColumn("share", share).withColumn("contribution", F.col("share") * F.col("estimate"))
+
+
+def acceptance(df: DataFrame, least_ap: float = 0.85, most_ece: float = 0.1, least_f1: float = 0.7) -> DataFrame:
+    """``criterion, value, passed``: the gate before a model is released. F1 is judged by the lower end of its bootstrap interval."""
+    c = metrics.confusion(df, "y", "pred").first()
+    low, _ = sampling.bootstrap_ci((c["tp"], c["fp"], c["fn"], c["tn"]), lambda tp, fp, fn, tn: 2 * tp / max(1, 2 * tp + fp + fn))
+    ap, ece = metrics.average_precision(df, "y", "p").first()[0] or 0.0, metrics.calibration_errors(df, "y", "p").first()["ece"]
+    rows = [("average_precision", float(ap), bool(ap >= least_ap)), ("ece", None if ece is None else float(ece), ece is not None and bool(ece <= most_ece)), ("f1_lower", None if low != low else float(low), bool(low >= least_f1))]
+    return df.sparkSession.createDataFrame(rows, "criterion string, value double, passed boolean")
+
+
 def prevalence_report(anchor: DataFrame, corpus: DataFrame) -> DataFrame:
     """Unweighted and design-weighted estimates and their composite with equal shares, one row each."""
     w = anchor.withColumn("w", 1 / F.col("sample_prob"))

@@ -267,3 +267,27 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     store.audit(store.votes(spark, src), one.withColumn("label", F.col("label").cast("int")), str(tmp_path / "audit"), str(tmp_path / "cp2")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "audit")).agg(F.sum("n_common")).first()[0] == 1
+
+
+def test_annotators_plug_in(spark):
+    from tallyweave.operators.annotate import Annotator, annotate
+
+    def connect():
+        def answer(texts):
+            if "boom" in texts:
+                raise TimeoutError("late")
+            return ['{"binary_label": "%s", "confidence": 1, "domains_present": [], "evidence_spans": [], "boundary_notes": null, "reason": ""}' % ("religious" if "church" in t else "nonreligious") for t in texts]
+
+        return answer
+
+    a = Annotator("m", "p", connect, retries=2, first_wait=0.01)
+    got = rows(annotate(spark.createDataFrame([("1", "a church"), ("2", None)], "id string, t string").coalesce(1), a, "id", "t"), "id", "source_id", "label", "error")
+    assert got == [("1", "m__p", 1, None), ("2", "m__p", 0, None)]
+    got = annotate(spark.createDataFrame([("1", "boom")], "id string, t string"), a, "id", "t").first()
+    assert got["label"] is None and got["error"] == "TimeoutError: late"
+
+
+def test_slate_falls_back(spark):
+    df = spark.createDataFrame([("a", 0.9, 0.8, 0.75), ("b", 0.95, None, 0.5)], "n string, f1 double, k double, low double")
+    assert rows(ml.slate(df, "n", "f1", "k", "low"), "n", "place", "selected") == [("a", 2, True), ("b", 1, False)]
+    assert rows(ml.slate(df, "n", "f1", "k", "low", 0.99), "n", "selected") == [("a", False), ("b", True)]
