@@ -21,13 +21,17 @@ def _col(c: Column | str) -> Column:
 
 
 def any_term(terms: Iterable[str]) -> str:
-    """One pattern for any whole term, case-insensitive, with Unicode word boundaries."""
-    return f"(?iU){START}(?:" + "|".join(re.escape(t).replace(r"\-", "-").replace(r"\ ", " ") for t in terms) + f"){END}"
+    """One pattern for any whole term, for lower-case texts. Terms are grouped by first letter, so most places of a text fail on one character."""
+    by: dict[str, list[str]] = {}
+    for t in terms:
+        t = t.lower()
+        by.setdefault(t[0], []).append(re.escape(t[1:]).replace(r"\-", "-").replace(r"\ ", " "))
+    return START + "(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")" + END
 
 
 def has_any(col: Column | str, terms: Iterable[str]) -> Column:
-    """Whether a text has any of the terms as whole words; null counts as empty."""
-    return F.coalesce(_col(col), F.lit("")).rlike(any_term(terms))
+    """Whether a text has any of the terms as whole words, in any case; null counts as empty."""
+    return F.lower(F.coalesce(_col(col), F.lit(""))).rlike(any_term(terms))
 
 
 def has_pattern(col: Column | str, patterns: Iterable[str]) -> Column:
@@ -124,17 +128,16 @@ def tokens(col: Column | str, stopwords: Iterable[str] = ()) -> Column:
 
 
 def ngrams(words: Column, low: int = 1, high: int = 1) -> Column:
-    """All n-grams of low to high words, joined by blanks."""
+    """All n-grams of low to high words, joined by blanks. Shifted arrays are zipped, so the work is linear in the words."""
     size = F.size(words)
-    parts = []
-
-    def at(n: int):  # a closure: a second parameter of the lambda would get the index
-        return lambda i: F.array_join(F.slice(words, i, n), " ")
-
-    for n in range(low, high + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), at(n))
-        parts.append(F.when(size >= n, grams).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+    parts, grams = [], words
+    for n in range(1, high + 1):
+        if n > 1:
+            shifted = F.slice(words, F.lit(n), F.greatest(size - (n - 1), F.lit(0)))
+            grams = F.slice(F.zip_with(grams, shifted, lambda a, b: F.concat_ws(" ", a, b)), F.lit(1), F.greatest(size - (n - 1), F.lit(0)))
+        if n >= low:
+            parts.append(grams)
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def source_parts(col: Column | str) -> Column:

@@ -58,11 +58,10 @@ def expand_back(raw: DataFrame, predictions: DataFrame, text_col: str, id_col: s
     """Every raw row with the prediction of its text; predictions must have one row per text and miss none."""
     keyed = predictions.select(text_key(text_col).alias("__k"), *columns)
     assert_unique(keyed, ["__k"])
-    out = raw.withColumn("__k", text_key(text_col)).join(keyed, "__k", "left")
-    lost = out.filter(F.col(columns[0]).isNull()).limit(1).count()
-    if lost:
+    rows = raw.withColumn("__k", text_key(text_col))
+    if rows.select("__k").join(keyed.select("__k"), "__k", "left_anti").limit(1).count():
         raise ValueError("some rows have no prediction of their text")
-    return out.drop("__k")
+    return rows.join(keyed, "__k", "left").drop("__k")
 
 
 def completeness(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
