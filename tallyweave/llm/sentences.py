@@ -185,6 +185,8 @@ def _unspaced(text: str, start: int, i: int, j: int) -> bool:
         return False
     word = i - 3 >= start and text[i - 3 : i].isalnum()
     if nxt.isupper():
+        if word and (text[j + 1 : j + 2].isspace() or text[j + 1 : j + 2] in ("'", "’")):  # a word of one letter, also a clipped one
+            return True
         return text[j + 1 : j + 2].islower() and (text[i - 1].islower() or text[i - 1].isdigit()) or word and text[j + 1 : j + 2].isalpha()
     return word  # a script without case
 

@@ -133,6 +133,22 @@ def test_rules(model, text, want):
     assert [text[a:b] for a, b in sentences.split(text, model)] == want
 
 
+def test_one_letter_starts_after_a_missing_blank():
+    # the candidates only; whether one ends a sentence is the classifier's
+    ends = lambda t: [s.end for s in sentences.sites(t, (0, 0, len(t)), len(t), len(t)) if not s.last]
+    for t in ("It pays tradespeople.A fund named after Stone helps.", "Hay comida caliente.Y todos ayudan.", "Мы открыли приют.В нём живут дети.", "C'est notre devise.L'équipe aide.", "It opened in 1990.I came."):
+        assert ends(t) == [t.index(".") + 1], t
+    assert ends("The U.S.A team ran plan v2.A fund.") == [] and ends("See item.pdf, plan.B2 and area.A.") == []
+
+
+def test_a_sentence_that_starts_with_a_after_a_missing_blank(spark):
+    said, fund = "It pays tradespeople.", [f"A fund named after {w} helps." for w in WHERE]
+    built = [f"{t}\n\n{said}\n\n{fund[k % 10]}" if k % 3 else f"{t} {said} {fund[k % 10]}" for k, (t, _) in enumerate(corpus())]
+    model = sentences.learn(spark.createDataFrame([(t,) for t in built], "t string"))
+    t = "It pays tradespeople.A fund named after Stone helps."
+    assert [t[a:b] for a, b in sentences.split(t, model)] == ["It pays tradespeople.", "A fund named after Stone helps."]
+
+
 def test_rows(spark, model):
     rows = [(1, None), (2, ""), (3, "Thank you! Who will help?"), (3, "Thank you!"), (4, "word " * 40_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as start_char")
