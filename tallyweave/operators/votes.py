@@ -66,6 +66,11 @@ def latest_votes(df: DataFrame, id_col: str, source_col: str, time_col: str, *ti
     return dedup_last(df, [id_col, source_col], time_col, *ties)
 
 
+def sources(votes: DataFrame, source_col: str) -> list[str]:
+    """All sources in order, for ``label_matrix``; as many as models x prompts, so the list is small."""
+    return [r[0] for r in votes.select(source_col).filter(F.col(source_col).isNotNull()).distinct().orderBy(source_col).collect()]
+
+
 def label_matrix(votes: DataFrame, id_col: str, source_col: str, label_col: str, sources: list[str]) -> DataFrame:
     """One column per source with its label; ``votes`` must be one row per record and source."""
     return votes.groupBy(id_col).pivot(source_col, sources).agg(F.max(label_col))

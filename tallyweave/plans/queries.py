@@ -207,17 +207,19 @@ def vote_share(spark, d):
     return rounded(V.vote_share(views.votes(spark, d), "EIN2", "label"))
 
 
+#: The sources that the SQL twins of label_matrix and label_stack name. The queries take all sources of the store.
 SOURCES = [f"{m}__{p}" for m in ("aspen-large", "birch-mini", "cedar-27b", "dogwood-nano") for p in ("v1", "v2", "v3")]
 
 
 @query
 def label_matrix(spark, d):
-    return V.label_matrix(views.votes(spark, d), "EIN2", "source_id", "label", SOURCES)
+    v = views.votes(spark, d)
+    return V.label_matrix(v, "EIN2", "source_id", "label", V.sources(v, "source_id"))
 
 
 @query
 def label_stack(spark, d):
-    return V.stack(V.label_matrix(views.votes(spark, d), "EIN2", "source_id", "label", SOURCES), "EIN2").groupBy("source_id").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("n_positive"))
+    return V.stack(label_matrix(spark, d), "EIN2").groupBy("source_id").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("n_positive"))
 
 
 @query

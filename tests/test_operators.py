@@ -27,6 +27,18 @@ def test_majority(spark):
     assert V.majority_vote(v.limit(0), "EIN2", "label", "confidence").count() == 0
 
 
+@pytest.mark.parametrize("models", [["aspen-large", "elder-flash", "lexicon-rule"], ["later-model"]])
+def test_label_matrix_has_every_source(spark, monkeypatch, models):
+    from tallyweave.plans import queries as Q
+
+    data = [(str(i), f"{m}__r4", i % 2, 0.9) for i in range(4) for m in models] + [("9", f"{models[0]}__r4", None, None)]
+    monkeypatch.setattr(Q.views, "votes", lambda spark, d: votes(spark, data))
+    names = sorted(f"{m}__r4" for m in models)
+    m = Q.label_matrix(spark, "")
+    assert m.columns == ["EIN2", *names] and {r["EIN2"]: tuple(r)[1:] for r in m.collect()} == {str(i): (i % 2,) * len(names) for i in range(4)} | {"9": (None,) * len(names)}
+    assert sorted(map(tuple, Q.label_stack(spark, "").collect())) == [(n, 4, 2) for n in names]
+
+
 def test_dawid_skene_recovers_reliability(spark):
     rng = np.random.default_rng(1)
     data = []
