@@ -43,7 +43,7 @@ def with_terms(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__words", ngrams(tokens(text), 1, 2)).withColumn("__chars", char_grams(text))
 
 
-def tfidf_pipeline(label: str, weight: str = "class_weight", features: int = 1 << 18, max_iter: int = 50, reg: float = 1e-4) -> Pipeline:
+def tfidf_pipeline(label: str, weight: str = "class_weight", features: int = 1 << 18, max_iter: int = 2000, reg: float = 1e-4) -> Pipeline:
     stages = []
     for c in ("words", "chars"):
         stages += [HashingTF(inputCol=f"__{c}", outputCol=f"__tf_{c}", numFeatures=features), IDF(inputCol=f"__tf_{c}", outputCol=f"__x_{c}", minDocFreq=2)]

@@ -737,13 +737,13 @@ def arm_selection(spark, d):
 
 def _labelled_texts(spark, d):
     t = _texts(spark, d).filter("trim(t) != ''").groupBy("EIN2").agg(F.max("t").alias("text"))
-    return sampling.folds(views.evaluation(spark, d), "y", "EIN2", 3).join(t, "EIN2")
+    return sampling.folds(views.evaluation(spark, d), "y", "EIN2").join(t, "EIN2")
 
 
 @query
 def tfidf_scores(spark, d):
     x = cut_lineage(_labelled_texts(spark, d))
-    out = ml.out_of_fold(x, lambda tr: ml.fit_tfidf(tr, "text", "y", features=1 << 14, max_iter=15), lambda m, q: ml.score_tfidf(m, q, "text"))
+    out = ml.out_of_fold(x, lambda tr: ml.fit_tfidf(tr, "text", "y"), lambda m, q: ml.score_tfidf(m, q, "text"))
     return rounded(out.select("EIN2", "fold", "y", "prob_raw"), 3)
 
 

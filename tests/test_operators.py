@@ -39,6 +39,20 @@ def test_label_matrix_has_every_source(spark, monkeypatch, models):
     assert sorted(map(tuple, Q.label_stack(spark, "").collect())) == [(n, 4, 2) for n in names]
 
 
+def test_tfidf_scores_runs_the_operators_settings(spark, monkeypatch):
+    from tallyweave.plans import queries as Q
+
+    df = spark.createDataFrame([(f"{i:02d}", i % 2, f"group {i}") for i in range(30)], "EIN2 string, y int, t string")
+    monkeypatch.setattr(Q.views, "evaluation", lambda spark, d: df.drop("t"))
+    monkeypatch.setattr(Q, "_texts", lambda spark, d: df.drop("y"))
+    asked = []
+    monkeypatch.setattr(ml, "fit_tfidf", lambda *a, **k: asked.append(k))
+    monkeypatch.setattr(ml, "out_of_fold", lambda x, fit, score: (fit(x), x.withColumn("prob_raw", F.lit(0.5)))[1])
+    assert {r["fold"] for r in Q.tfidf_scores(spark, "").collect()} == set(range(5))
+    stages = ml.tfidf_pipeline("y", **asked[0]).getStages()
+    assert stages[0].getNumFeatures() == stages[2].getNumFeatures() == 1 << 18 and stages[-1].getMaxIter() == 2000
+
+
 def test_dawid_skene_recovers_reliability(spark):
     rng = np.random.default_rng(1)
     data = []
