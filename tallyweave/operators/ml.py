@@ -97,8 +97,11 @@ def select_arm(cells: DataFrame, name: str, value: str, order: list[str]) -> Dat
     """One row: the arm kept when arms are compared from the simplest on; a later one wins only by more than the larger deviation.
 
     ``order`` lists the arms from simplest to most complex; runs per arm are few.
+    An arm that is not in it raises an error.
     """
     s = {r[name]: (r["m"], r["sd"] or 0.0, r["n"]) for r in cells.groupBy(name).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"), F.count("*").alias("n")).collect()}
+    if unknown := sorted(str(k) for k in s if k not in order):
+        raise ValueError(f"no place in the order for {', '.join(unknown)}")
     best = None
     for k in order:
         if k in s and (best is None or s[k][0] - s[best][0] > max(s[k][1], s[best][1])):

@@ -732,7 +732,7 @@ def pruned_arm(spark, d):
 @query
 def arm_selection(spark, d):
     c = views.votes(spark, d).filter("confidence is not null").select("source_id", F.concat_ws("", F.lit("arm_"), "model_id").alias("arm"), "confidence").groupBy("arm", "source_id").agg(r(F.avg("confidence"), 4).alias("score"))
-    return rounded(ml.select_arm(c, "arm", "score", ["arm_lexicon-rule", "arm_dogwood-nano", "arm_birch-mini", "arm_aspen-large"]))
+    return rounded(ml.select_arm(c, "arm", "score", ["arm_lexicon-rule", "arm_dogwood-nano", "arm_birch-mini", "arm_elder-flash", "arm_cedar-27b", "arm_aspen-large"]))
 
 
 def _labelled_texts(spark, d):

@@ -53,6 +53,19 @@ def test_tfidf_scores_runs_the_operators_settings(spark, monkeypatch):
     assert stages[0].getNumFeatures() == stages[2].getNumFeatures() == 1 << 18 and stages[-1].getMaxIter() == 2000
 
 
+def test_select_arm_has_a_place_for_every_arm(spark, monkeypatch):
+    from tallyweave.plans import queries as Q
+
+    cells = spark.createDataFrame([("a", 0.5), ("a", 0.51), ("b", 0.9), ("b", 0.91)], "arm string, score double")
+    assert ml.select_arm(cells, "arm", "score", ["a", "b"]).first()["arm"] == "b"
+    with pytest.raises(ValueError, match="b"):
+        ml.select_arm(cells, "arm", "score", ["a"])
+    for best in ("cedar-27b", "elder-flash"):
+        data = [(m, f"{m}__v{k}", 0.9 if m == best else 0.5) for m in ("lexicon-rule", "dogwood-nano", "birch-mini", "elder-flash", "cedar-27b", "aspen-large") for k in (1, 2)]
+        monkeypatch.setattr(Q.views, "votes", lambda spark, d, data=data: spark.createDataFrame(data, "model_id string, source_id string, confidence double"))
+        assert Q.arm_selection(spark, "").first()["arm"] == f"arm_{best}"
+
+
 def test_dawid_skene_recovers_reliability(spark):
     rng = np.random.default_rng(1)
     data = []
