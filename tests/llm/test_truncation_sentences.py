@@ -61,11 +61,46 @@ def test_censored_fit_recovers():
     assert mu == pytest.approx(5, abs=0.05) and sd == pytest.approx(0.6, abs=0.05)
 
 
+def limited(spark, limit, longest, n=3000, also=(), year=lambda rng: 2010):
+    """Texts cut at a limit: (rows, ids at the limit); ``also`` are lengths of whole texts beyond it."""
+    rng = random.Random(4)
+    rows, at = [], set()
+    while len(rows) < n:
+        t = " ".join(text(rng) for _ in range(rng.randint(1, max(1, longest // 150))))
+        y = year(rng)
+        if len(t) > limit:
+            t = t[:limit]
+            if t[-1] not in ". " and t[-2] != ".":
+                at.add(len(rows))
+        rows.append((len(rows), f"{len(rows):09d}", t, y, "s"))
+    rows += [(n + k, f"9{k:08d}", ("Whole " * size)[: size - 1].rstrip() + ".", year(rng), "s") for k, size in enumerate(also)]
+    return spark.createDataFrame(rows, FRAME), at
+
+
+@pytest.mark.parametrize("limit,longest,n,also", [(500, 900, 3000, ()), (500, 900, 3000, (640,)), (500, 900, 3000, (501, 502, 640, 2000)), (32_767, 60_000, 300, ()), (32_767, 60_000, 300, (40_000,))])
+def test_limits_at_exact_lengths(spark, limit, longest, n, also):
+    df, at = limited(spark, limit, longest, n, also)
+    got = {r["id"]: r for r in truncation.truncation(df, "rec_id", "t", "s", "y", "EIN2").collect()}
+    assert len(at) > 60 and all(got[i]["at_limit"] > 0.95 for i in at) and sum(got[i]["cut"] for i in at) / len(at) > 0.99
+    assert all(r["at_limit"] == 0 for r in got.values() if not limit - 1 <= r["length"] <= limit)
+    assert not any(r["cut"] for i, r in got.items() if i >= n)
+
+
+def test_limits_of_years():
+    body = [(y, x, 3) for y in (2010, 2011, 2012, None) for x in range(60, 300)]
+    found = truncation.find_limits(body + [(2010, 300, 90), (2011, 300, 5), (None, 300, 4)] + [(2012, x, 3) for x in range(300, 500)])
+    assert found[2010, 300] > 0.9 and found[2010, 299] == found[2010, 300] and found[2011, 300] > 0.9  # few texts at it, but none longer
+    assert (2012, 300) not in found or found[2012, 300] < 0.01
+    assert found[None, 300] > 0.8 and set(found) <= {(y, x) for y in (2010, 2011, 2012, None) for x in (299, 300)}
+    assert truncation.find_limits(body) == {} and truncation.find_limits([(None, 7, 1)]) == {}
+    assert truncation.find_limits([(None, x, 3) for x in range(60, 300)] + [(None, 300, 90)])[None, 300] > 0.9  # no dates at all
+
+
 def test_continued_text_is_cut(spark):
     t = "We provide hot meals and warm beds for many of the people who live in Maivoss"
-    df = spark.createDataFrame([(1, "1", t, 2010, "a"), (2, "1", t + " Valley and beyond it.", 2011, "b"), (3, "2", t, 2010, "a")], FRAME)
-    rows = df.selectExpr("rec_id as id", "EIN2 as org", "t as text")
-    assert [r["id"] for r in truncation._continued(rows, rows).collect()] == [1]
+    rows = [(1, "1", t, 2010, "a"), (2, "1", t + " Valley and beyond it.", 2011, "b"), (3, "2", t, 2010, "a"), (4, "3", t.upper() + "...", 2010, "a"), (5, "3", t + " and more", 2010, "a"), (6, "4", t, 2010, "a"), (7, "4", t + ".", 2010, "a"), (8, None, t, 2010, "a"), (9, None, t + " Valley", 2010, "a"), (10, "1", t, 2012, "a")]
+    got = {r["id"]: r["evidence"] for r in truncation.truncation(spark.createDataFrame(rows, FRAME), "rec_id", "t", "s", "y", "EIN2").collect()}
+    assert {i for i, e in got.items() if e == 10} == {1, 4, 10}
 
 
 def test_marks():
