@@ -61,6 +61,8 @@ def split_mark(text: str) -> tuple[str, str]:
 
 def unclosed(text: str) -> bool:
     """Whether the last sentence opens a bracket or quotation that the text never closes."""
+    if not any(ch in text for ch in _OPEN) and '"' not in text:
+        return False
     ends = [m.end() for m in _END.finditer(text) if m.end() < len(text)]
     tail = text[ends[-1] :] if ends else text
     depth = 0
@@ -78,8 +80,10 @@ def _rare(word: str, caps: bool) -> str:
 
 def _capitals(tokens: list[str]) -> bool:
     """Whether a text is written in capitals: more than 0.8 of its words that have a case are."""
-    cased = [w for w in tokens if w.lower() != w.upper()]
-    return bool(cased) and sum(map(str.isupper, cased)) > 0.8 * len(cased)
+    big, small = sum(map(str.isupper, tokens)), sum(map(str.islower, tokens))
+    if big <= 0.8 * (big + small):
+        return False
+    return big > 0.8 * sum(w.lower() != w.upper() for w in tokens)
 
 
 def _trigram(rare: str, word: str) -> str:
@@ -171,21 +175,19 @@ class Endings:
         tri, n_rare = _trigram(rare, word), self.rare_words[rare] + 20
         whole = 1.0 if known else (self.whole[tri] + 0.1) / n_rare
         part = (self.part[tri] + 0.1) / n_rare
-        longer = lambda after: sum(after(w) for w in self.starting.get(word, ()))
-        begun = longer(lambda w: self.word_all.get(w, 0))
-        by_pair = self.all.get((a, b), 0) >= 5 or longer(lambda w: self.all.get((a, w), 0)) >= 5
-        if by_pair:
-            seen, ended = self.all.get((a, b), 0), self.end.get((a, b), 0)
-            begins = longer(lambda w: self.all.get((a, w), 0)) + self.all.get((a, rare), 0) * part
-        else:  # back off to the word alone
+        following = self.starting.get(word, ())
+        begun = sum(self.all.get((a, w), 0) for w in following)
+        seen, ended = self.all.get((a, b), 0), self.end.get((a, b), 0)
+        pair = begun + self.all.get((a, rare), 0) * part
+        # Words that texts end with far more often than cuts would make them: closing formulas without a mark.
+        final = self.last.get((a, word), 0)
+        chance = self.n_last * (2 * seen * whole + pair) / self.chars
+        if seen < 5 and begun < 5:  # back off to the word alone
             seen, ended = self.word_all.get(b, 0), self.word_end.get(b, 0)
-            begins = begun + self.word_all.get(rare, 0) * part
+            pair = sum(self.word_all.get(w, 0) for w in following) + self.word_all.get(rare, 0) * part
         # A cut falls on one of all characters: after the word or its blank, or inside a longer word.
-        cut = (2 * seen * whole + begins + 1e-3) / self.chars
+        cut = (2 * seen * whole + pair + 1e-3) / self.chars
         end = (ended + 1e-2) * whole / self.n_end
-        # Words that texts end with far more often than cuts would make them: closing formulas without a mark.
-        final = self.last.get((a, word), 0)
-        chance = self.n_last * (2 * self.all.get((a, b), 0) * whole + longer(lambda w: self.all.get((a, w), 0)) + self.all.get((a, rare), 0) * part) / self.chars
         if final > 3 + 5 * chance:
             end = max(end, final / self.n_last)
         return max(-12.0, min(12.0, math.log(cut / end)))
