@@ -161,6 +161,10 @@ def test_sentences_on_built_texts(model):
         ("Can\nwe do more? Thank you!", ["Can\nwe do more?", "Thank you!"]),
         ("It opened in 1990.Thank you!", ["It opened in 1990.", "Thank you!"]),
         ("ขอบคุณทุกท่าน มี 25 คนมา\nวันนี้ดี", ["ขอบคุณทุกท่าน", "มี 25 คนมา", "วันนี้ดี"]),
+        ("Annual Report of the Riverside Youth Center\nThe center served many families.", ["Annual Report of the Riverside Youth Center", "The center served many families."]),
+        ("History\nIt opened in 1990!\nOur Work\nWe need beds ... and quickly.", ["History", "It opened in 1990!", "Our Work", "We need beds ... and quickly."]),
+        (f"{'A Very Long Heading of Many Words ' * 20}\nThank you!", [("A Very Long Heading of Many Words " * 20).strip(), "Thank you!"]),
+        ("Annual Report\nof the center came out.", ["Annual Report\nof the center came out."]),
         ("", []), (None, []), (" \n　", []), ("no mark at all", ["no mark at all"]), ("...", ["..."]),
     ],
 )
@@ -168,6 +172,24 @@ def test_rules(model, text, want):
     assert [text[a:b] for a, b in sentences.split(text, model)] == want
 
 
+def test_headings_without_a_trained_model():
+    heading = "Annual Report of the Riverside Youth Center\nThe center served many families."
+    assert [heading[a:b] for a, b in sentences.split(heading, sentences.Model({}, frozenset()))] == heading.split("\n")
+
+
+def test_headings_in_scripts_without_case_are_known_from_elsewhere(spark):
+    docs = [("年度报告\n\n谢谢大家！",)] * 6 + [("年度报告\n校长说：“我们会继续开放。”谢谢大家！",)]
+    model = sentences.learn(spark.createDataFrame(docs, "t string"))
+    assert docs[-1][0][:4] == docs[-1][0][slice(*sentences.split(docs[-1][0], model)[0])]
+
+
+def test_tokens_reach_beyond_any_window(model):
+    long = "x" * 300
+    t = f"We met {long}. The{' ' * 90}end came."
+    found = list(sentences.sites(t, (0, 0, len(t)), len(t), len(t)))
+    assert found[0].context.split("\n")[0] == long and found[0].pair == "the end"
+
+
 def test_one_letter_starts_after_a_missing_blank():
     # the candidates only; whether one ends a sentence is the classifier's
     ends = lambda t: [s.end for s in sentences.sites(t, (0, 0, len(t)), len(t), len(t)) if not s.last]
@@ -189,5 +211,7 @@ def test_rows(spark, model):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as start_char")
     got = sorted(map(tuple, sentences.sentences(df, "doc_id", "text", model).collect()))
     assert got == [(3, 0, 10), (3, 0, 10), (3, 11, 25), (4, 0, 199_999)]
+    said = sentences.sentences(df, "doc_id", "text", model, with_text=True)
+    assert sorted(r["sentence"] for r in said.collect() if r["doc_id"] < 4) == ["Thank you!", "Thank you!", "Who will help?"]
     assert sentences.sentences(df.limit(0), "doc_id", "text").count() == 0
     assert sentences.sentences(df.filter("doc_id < 3"), "doc_id", "text").count() == 0
