@@ -85,7 +85,7 @@ class Site(NamedTuple):
 def _token(word: str) -> str:
     """Small letters; numbers by their number of digits, as days and years stand in other places."""
     w = word.lower()
-    if not w[0].isdigit() or any(c.isalpha() for c in w):
+    if not w[0].isdigit() or not w.isdigit() and any(c.isalpha() for c in w):
         return w
     return f"<{min(len(w), 5)}>" if w.isdigit() else "<num>"
 
@@ -104,10 +104,11 @@ def _following(text: str, at: int, end: int) -> tuple[str, str, str, str]:
     m = _NEXT.match(text, at, end)
     if not m:
         return "", "", "sign", opener
+    word, j = m.group(), m.end()
     # initials and one-letter abbreviations keep their case and their stop
-    first = m.group() + text[m.end() : m.end() + 1] if len(m.group()) == 1 and m.group().isalpha() else _token(m.group())
-    m2 = _NEXT.search(text, m.end(), end)
-    ch = m.group()[0]
+    first = word + text[j : j + 1] if len(word) == 1 and word.isalpha() else _token(word)
+    m2 = _NEXT.search(text, j, end)
+    ch = word[0]
     case = "digit" if ch.isdigit() else "lower" if ch.islower() else "upper" if ch.isupper() or unicodedata.category(ch) == "Lt" else "none"
     return first, f"{first} {_token(m2.group())}" if m2 else first, case, opener
 
@@ -145,6 +146,8 @@ def _inside(text: str, start: int, end: int) -> tuple[list[int], list[int]]:
 
 
 def _within(inside: tuple[list[int], list[int]], at: int) -> bool:
+    if not inside[0]:
+        return False
     k = bisect_right(inside[0], at) - 1
     return k >= 0 and at <= inside[1][k]
 
@@ -248,7 +251,7 @@ def sites(text: str, span: tuple[int, int, int], following: int, stop: int) -> I
         if not last:
             if _MARK.match(text, k) or _within(inside, k):  # another mark follows the closing signs; or the stretch goes on
                 continue
-            if not text[k].isspace() and text[k] not in _OPENERS and not _CJK.match(text[k]) and not (text[k].isalpha() and not text[k].islower()) and mark in (".", "..."):
+            if not text[k].isspace() and text[k] not in _OPENERS and not (text[k] > "⺀" and _CJK.match(text[k])) and not (text[k].isalpha() and not text[k].islower()) and mark in (".", "..."):
                 continue
         nxt, pair, case, opener = _following(text, following if last else k, stop if last else b)
         e = i
@@ -281,6 +284,7 @@ class Look:
         self.pairs: list[str] = []
         self.starts: list[tuple[str, str]] = []
         self.alone: list[int] = []
+        self.thai = not text.isascii() and bool(_THAI.search(text))
         found = pieces(text)
         self.first = found[0].start if found else -1
         for k, piece in enumerate(found):
@@ -313,7 +317,7 @@ class Look:
         if lines:
             sort = True
             got += self._lines(text, lines)
-        if _THAI.search(text, a, b):
+        if self.thai and _THAI.search(text, a, b):
             sort = True
             for m in regex.finditer(r"\s+", text, pos=body, endpos=b):
                 left, right = text[m.start() - 1], text[m.end() : m.end() + 1]
@@ -322,11 +326,11 @@ class Look:
                     got.append((m.start(), m.end(), SURE << 16, 0, "", "", ""))
         if sort:
             got.sort(key=lambda c: c[0])
-        for end, on, how, key, context, nxt, pair in got:
-            self.cuts.append((end, on, how, key))
-            self.contexts.append(context)
-            self.nexts.append(nxt)
-            self.pairs.append(pair)
+        for c in got:
+            self.cuts.append(c[:4])
+            self.contexts.append(c[4])
+            self.nexts.append(c[5])
+            self.pairs.append(c[6])
 
     def _lines(self, text: str, lines: list[tuple[int, int]]) -> Iterator[tuple]:
         """Candidates at the single line breaks of a piece: edges of lines that may be headings."""
