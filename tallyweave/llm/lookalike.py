@@ -6,6 +6,9 @@ what the token may be: one script (a mixed token is re-spelled in it), several (
 shared shapes takes the script that the text's unambiguous tokens use most), or none (shared shapes
 take the spelling of the first script that has them). As the sets depend on looks only, two texts
 have the same form exactly when they look the same.
+
+Looks are those of the table below, across scripts. Signs of one script that only resemble each other (1, l and I; 0 and O; rn
+and m; dotted and dotless i) tell texts apart and keep their spelling: a form that merged them would not be readable text.
 """
 
 from __future__ import annotations
@@ -16,9 +19,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.session import written
+
 #: Letters of one look, each line ``look: script letters``; scripts in order of preference.
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic", "Lisu")
 SAME_LOOK = """
@@ -28,7 +34,7 @@ C С Ϲ - Ꮯ Ⲥ ꓚ
 D - - - Ꭰ - ꓓ
 E Е Ε - Ꭼ - ꓰ
 F - Ϝ - - - ꓝ
-G Ԍ - - Ꮐ - ꓖ
+G Ԍ - - ᏀᏳ - ꓖ
 H Н Η - Ꮋ Ⲏ ꓧ
 I ІӀ Ι - - Ⲓ ꓲ
 J Ј Ϳ - Ꭻ - ꓙ
@@ -46,16 +52,16 @@ U - - Ս - - ꓴ
 V Ѵ - - Ꮩ - ꓦ
 W Ԝ - - Ꮃ - ꓪ
 X Х Χ - - Ⲭ ꓫ
-Y УҮ Υ - Ꮍ Ⲩ ꓬ
+Y УҮ Υ - ᎽᎩ Ⲩ ꓬ
 Z - Ζ - Ꮓ - ꓜ
-a а α - - - -
+aɑ а α - - - -
 c с ϲ - - ⲥ -
 d ԁ - - Ꮷ - -
 e еҽ - - - - -
 gɡ - - ց - - -
 h һ - հ Ꮒ - -
 i і ι - Ꭵ - -
-j ј ϳ - - - -
+j ј ϳ յ - - -
 l ӏ - - - - -
 n - - ոռ - - -
 o о ο օ - ⲟ -
@@ -69,7 +75,7 @@ x х - - - - -
 y уү γ - - - -
 """
 #: Letters that are read as their look but that no token is re-spelled with.
-ONLY_READ = set("ӀԌԚԜѴҮԁҽһӏԛѵԝ")
+ONLY_READ = set("ᎩᏳյӀԌԚԜѴҮԁҽһӏԛѵԝ")
 #: Compatibility forms that only change the width, joining or style of a letter.
 WIDTHS = {"wide", "narrow", "noBreak", "compat", "font", "initial", "medial", "final", "isolated"}
 #: Invisible characters outside the format category.
@@ -88,34 +94,41 @@ for _line in SAME_LOOK.split("\n"):
 
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 _script_re = {s: regex.compile(rf"\p{{Script={s}}}") for s in SCRIPTS}
-_plain: dict[str, str] = {}
 _scripts: dict[str, frozenset[str] | None] = {}
+#: Tokens remembered per process, with the scripts that can spell them and their spellings; only speed depends on it.
+MEMO_TOKENS = 200_000
+_resolved: dict[str, tuple[str, ...]] = {}
+_spelled: dict[tuple[str, str | None], str] = {}
 
 
 def _visible(ch: str) -> str:
     """A character without its width: blanks as one blank, invisible ones as nothing."""
-    got = _plain.get(ch)
-    if got is not None:
-        return got
     category, code = unicodedata.category(ch), ord(ch)
-    if ch in "\n  \x85":
-        got = "\n"
-    elif category == "Zs" or ch in "\t\v\f":
-        got = " "
-    elif category in ("Cf", "Cc") or code in UNSEEN:
-        got = ""
-    elif ch in MARKS:
-        got = MARKS[ch]
-    else:
-        how = unicodedata.decomposition(ch)
-        got = ch
-        if how.startswith("<"):
-            tag, *codes = how[1:].replace(">", "").split()
-            if tag in WIDTHS and not (tag == "compat" and category in ("So", "Sk", "No")):
-                got = "".join(_visible(chr(int(c, 16))) for c in codes)
-    if len(_plain) < 200_000:
-        _plain[ch] = got
-    return got
+    if ch in "\n\u2028\u2029\x85":
+        return "\n"
+    if category == "Zs" or ch in "\t\v\f":
+        return " "
+    if category in ("Cf", "Cc") or code in UNSEEN:
+        return ""
+    if ch in MARKS:
+        return MARKS[ch]
+    how = unicodedata.decomposition(ch)
+    if how.startswith("<"):
+        tag, *codes = how[1:].replace(">", "").split()
+        if tag in WIDTHS and not (tag == "compat" and category in ("So", "Sk", "No")):
+            return "".join(_visible(chr(int(c, 16))) for c in codes)
+    return ch
+
+
+class _Plain(dict):
+    """Characters and what is seen of them, for ``str.translate``; filled as they come."""
+
+    def __missing__(self, code: int) -> str:
+        got = self[code] = _visible(chr(code))
+        return got
+
+
+_plain = _Plain()
 
 
 def _spellable(ch: str) -> frozenset[str] | None:
@@ -135,6 +148,17 @@ def _spellable(ch: str) -> frozenset[str] | None:
 
 def _resolve(token: str) -> tuple[str, ...]:
     """Scripts that can spell the whole token, in order of preference."""
+    got = _resolved.get(token)
+    if got is None:
+        got = _intersect(token)
+        if len(token) <= 64:
+            if len(_resolved) >= MEMO_TOKENS:
+                _resolved.clear()
+            _resolved[token] = got
+    return got
+
+
+def _intersect(token: str) -> tuple[str, ...]:
     left: set[str] | None = None
     for ch in token:
         s = _spellable(ch)
@@ -146,6 +170,17 @@ def _resolve(token: str) -> tuple[str, ...]:
 
 
 def _spell(token: str, script: str | None) -> str:
+    got = _spelled.get((token, script))
+    if got is None:
+        got = _respell(token, script)
+        if len(token) <= 64:
+            if len(_spelled) >= MEMO_TOKENS:
+                _spelled.clear()
+            _spelled[token, script] = got
+    return got
+
+
+def _respell(token: str, script: str | None) -> str:
     out = []
     for ch in token:
         k = _class_of.get(ch)
@@ -163,16 +198,19 @@ def consistent_form(text: str | None) -> str | None:
     if text is None:
         return None
     if text.isascii():
-        return "".join(map(_visible, text)) if not text.isprintable() else text
-    flat = unicodedata.normalize("NFD", "".join(map(_visible, text)))
-    resolved = {t: _resolve(t) for t in set(_TOKEN.findall(flat))}
+        return text.translate(_plain) if not text.isprintable() else text
+    flat = unicodedata.normalize("NFD", text.translate(_plain))
+    tokens = Counter(_TOKEN.findall(flat))
+    resolved = {t: _resolve(t) for t in tokens}
     votes: Counter[str] = Counter()
-    for t in _TOKEN.findall(flat):
+    for t, n in tokens.items():
         if len(resolved[t]) == 1:
-            votes[resolved[t][0]] += len(t)
+            votes[resolved[t][0]] += n * len(t)
     order = sorted(SCRIPTS, key=lambda s: (-votes[s], SCRIPTS.index(s)))
     spelled = {t: _spell(t, next((s for s in order if s in r), None)) for t, r in resolved.items()}
-    return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: spelled[m.group()], flat))
+    if any(t != x for t, x in spelled.items()):
+        flat = _TOKEN.sub(lambda m: spelled[m.group()], flat)
+    return unicodedata.normalize("NFC", flat)
 
 
 #: Texts of printable ASCII and line feeds are their own form.
@@ -197,18 +235,31 @@ def with_form(df: DataFrame, text_col: str, form_col: str = "form") -> DataFrame
     return plain.withColumn(form_col, F.col(text_col)).unionByName(df.filter(F.col(text_col).rlike(_NEEDS_WORK)).mapInArrow(run, schema))
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts that are not blank: id, and 16 bytes each for the form and for the text as stored."""
+    for batch in batches:
+        keep, forms, texts = [], [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            form = consistent_form(text)
+            if form and not form.isspace():
+                keep.append(i)
+                forms.append(xxhash.xxh3_128_digest(form))
+                texts.append(xxhash.xxh3_128_digest(text))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(forms, pa.binary()), pa.array(texts, pa.binary())], names=["id", "f", "t"])
+
+
 def pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``{id}_a, {id}_b``: rows whose texts are stored otherwise but look the same, smaller id first.
 
-    Null and blank texts have no pair. Rows are first brought to distinct stored texts, and only
-    forms with two stored texts or more go on, so copies of one boilerplate text are never joined.
+    Null and blank texts have no pair; rows with a null id are no rows. Texts are read once. Different stored texts of one form are paired
+    first, then each pair of texts takes its ids, so copies of one text never meet each other: the work follows the result.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = with_form(rows, "text").filter(F.regexp_replace("form", r"\s", "") != "")
-    keyed = known.select("id", F.unhex(F.md5("form")).alias("f"), F.unhex(F.md5("text")).alias("t"))
-    kinds = keyed.groupBy("f", "t").agg(F.count("*").alias("n"))
+    rows = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed = written(rows.mapInArrow(_keys, f"id {df.schema[id_col].dataType.simpleString()}, f binary, t binary"), "lookalike-keys")
+    kinds = keyed.select("f", "t").distinct()
     several = kinds.groupBy("f").agg(F.count("*").alias("k")).filter("k > 1").select("f")
-    live = keyed.join(several, "f", "left_semi")
-    a, b = live.alias("a"), live.alias("b")
-    hit = a.join(b, (F.col("a.f") == F.col("b.f")) & (F.col("a.t") != F.col("b.t")) & (F.col("a.id") < F.col("b.id")))
-    return hit.select(F.col("a.id").alias(f"{id_col}_a"), F.col("b.id").alias(f"{id_col}_b"))
+    kinds = written(kinds.join(several, "f", "left_semi"), "lookalike-kinds")
+    two = kinds.withColumnRenamed("t", "ta").join(kinds.withColumnRenamed("t", "tb"), "f").filter("ta < tb").select("ta", "tb")
+    a, b = keyed.select(F.col("t").alias("ta"), F.col("id").alias("ia")), keyed.select(F.col("t").alias("tb"), F.col("id").alias("ib"))
+    hit = two.join(a, "ta").join(b, "tb")
+    return hit.select(F.least("ia", "ib").alias(f"{id_col}_a"), F.greatest("ia", "ib").alias(f"{id_col}_b"))

@@ -7,13 +7,15 @@ stream through the shards in one pass, without a shuffle.
 Two texts of at most ``n`` words that differ in at most ``d`` words share one of ``d + 1`` pieces
 that a text is cut into, whatever the cut. So each training text is cut into as many pieces as its
 length allows edits, plus one; backward search counts each piece of several cuts, and the cut with
-the fewest occurrences is located. Every occurrence is extended to its maximal match, the matches of
-a pair of texts are merged to spans, and the pair is kept if its exact word distance allows it. No
-frequency cap is needed, as no piece is ever left out.
+the fewest occurrences is located. Every occurrence is extended to its maximal match, and the matches of
+a pair of texts are merged to spans. The words that a chain of the matches leaves out bound the pair's word distance:
+if the bound is allowed, the pair is kept; the distance itself is worked out only where the bound decides nothing or
+is not known to be exact. No frequency cap is needed, as no piece is ever left out.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.ids import nine_digits
 from tallyweave.llm.fm_index import FmIndex, within
-from tallyweave.llm.lookalike import with_form
+from tallyweave.llm.lookalike import consistent_form
 from tallyweave.session import written, written_path
 
 #: Words in one shard of the index: about 30 MB when loaded. Speed and memory depend on it, results don't.
@@ -36,6 +38,8 @@ CUTS = 6
 HELD_WORDS = 2_000_000
 #: Located occurrences handled at once.
 AT_ONCE = 1_000_000
+#: Loaded shards that a process keeps, about 30 MB each; an index of no more is loaded once per process. Speed depends on it, results don't.
+KEPT_SHARDS = 4
 
 _APOSTROPHES = regex.compile(r"(?<=\p{L})['’](?=\p{L})")
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*|[\p{L}\p{M}\p{N}]+")
@@ -56,16 +60,19 @@ def _hash(ws: list[str]) -> list[int]:
 
 
 def _word_rows(df: DataFrame, least: int) -> DataFrame:
-    """id, side columns, and the words of each text, joined by blanks; null if there are fewer than ``least``."""
+    """id, side columns, the words of each text's form, joined by blanks, and 16 bytes for them; null if there are fewer than ``least`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ws = [words(f) for f in batch.column(3).to_pylist()]
-            norm = pa.array([" ".join(w) if len(w) >= least else None for w in ws], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], norm], names=["id", "train", "ein", "norm"])
+            norms = []
+            for text in batch.column(3).to_pylist():
+                w = words(consistent_form(text))
+                norms.append(" ".join(w) if len(w) >= least else None)
+            keys = [None if t is None else xxhash.xxh3_128_digest(t) for t in norms]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(norms, pa.string()), pa.array(keys, pa.binary())], names=["id", "train", "ein", "norm", "key"])
 
     id_type = df.schema["id"].dataType.simpleString()
-    return df.select("id", "train", "ein", "form").mapInArrow(run, f"id {id_type}, train boolean, ein string, norm string")
+    return df.select("id", "train", "ein", "text").mapInArrow(run, f"id {id_type}, train boolean, ein string, norm string, key binary")
 
 
 def _shards(texts: DataFrame, shard_words: int) -> str:
@@ -85,19 +92,31 @@ def _shards(texts: DataFrame, shard_words: int) -> str:
     return written_path(by.groupBy("shard").applyInArrow(build, "shard int, keys binary, blob binary"), "overlap-index")
 
 
+_kept: OrderedDict[tuple[str, int], list[tuple[FmIndex, np.ndarray]]] = OrderedDict()
+
+
 def _load_shards(folder: str) -> Iterator[tuple[FmIndex, np.ndarray]]:
-    """The shards of a written index, one at a time."""
+    """The shards of a written index, one at a time. ``folder`` is a URI with its scheme, as Spark resolved it."""
     import pyarrow.fs as pafs
     import pyarrow.parquet as pq
 
-    fs, path = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+    fs, path = pafs.FileSystem.from_uri(folder)
     for f in sorted(fs.get_file_info(pafs.FileSelector(path)), key=lambda f: f.path):
         if not f.path.endswith(".parquet"):
             continue
-        source = pq.ParquetFile(fs.open_input_file(f.path))
-        for batch in source.iter_batches(batch_size=1):
-            for row in batch.to_pylist():
-                yield FmIndex.load(row["blob"]), np.frombuffer(row["keys"], "S16")
+        source = None
+        k = 0
+        while True:
+            if (f.path, k) not in _kept:
+                source = source or pq.ParquetFile(fs.open_input_file(f.path))
+                if k >= source.num_row_groups:
+                    break
+                rows = source.read_row_group(k).to_pylist()
+                _kept[f.path, k] = [(FmIndex.load(r["blob"]), np.frombuffer(r["keys"], "S16")) for r in rows]
+                while len(_kept) > KEPT_SHARDS:
+                    _kept.popitem(last=False)
+            yield from _kept[f.path, k]
+            k += 1
 
 
 def _cut(n: np.ndarray, share: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,18 +168,45 @@ def _search(index: FmIndex, hashes: np.ndarray, starts: np.ndarray, n: np.ndarra
             continue
         pt, pd = pair // len(lengths), pair % len(lengths)
         pm = allowed(np.maximum(n[pt], lengths[pd]), share)
-        edits = np.full(len(pair), -1, np.int64)
-        for top in np.unique(pm):  # alike lengths together, so that short texts don't wait for long ones
-            these = np.flatnonzero(pm == top)
+        left, right = _maximal(ids, starts[t], n[t], x, index.text, index.starts[doc], lengths[doc], y)
+        edits = _chained(inverse, left, right, y - x, n[pt], lengths[pd])
+        kept = edits <= pm
+        # A bound that is as low as the lengths allow, or one edit between texts that differ, is the distance.
+        open_ = np.flatnonzero(edits > np.maximum(np.abs(n[pt] - lengths[pd]), 1))
+        for top in np.unique(pm[open_]):  # alike lengths together, so that short texts don't wait for long ones
+            these = open_[pm[open_] == top]
             for part in np.array_split(these, max(1, len(these) * (2 * int(top) + 3) // 4_000_000)):
-                edits[part] = within(ids, starts[pt[part]], n[pt[part]], index.text, index.starts[pd[part]], lengths[pd[part]], pm[part])
-        kept = edits >= 0
+                found = within(ids, starts[pt[part]], n[pt[part]], index.text, index.starts[pd[part]], lengths[pd[part]], pm[part])
+                edits[part] = np.where(found >= 0, found, edits[part])
+                kept[part] |= found >= 0
         use = kept[inverse]
-        left, right = _maximal(ids, starts[t[use]], n[t[use]], x[use], index.text, index.starts[doc[use]], lengths[doc[use]], y[use])
-        covered, spans = _merged(inverse[use], left, right, len(pair))
+        covered, spans = _merged(inverse[use], left[use], right[use], len(pair))
         yield pt[kept], pd[kept], edits[kept], covered[kept], spans[kept]
 
 
+def _chained(pair: np.ndarray, left: np.ndarray, right: np.ndarray, shift: np.ndarray, an: np.ndarray, bn: np.ndarray) -> np.ndarray:
+    """For each pair, the edits along a chain of its maximal matches: an upper bound of its word distance.
+
+    Matches are taken from left to right, each from where it leaves the chain behind in both texts; what lies between two
+    matches costs the longer of its two sides.
+    """
+    one = np.unique(np.stack([pair, left, shift, right]), axis=1) if len(pair) else np.zeros((4, 0), np.int64)
+    pair, left, shift, right = one
+    place = np.arange(len(pair)) - np.searchsorted(pair, pair)
+    ea, eb, cost = (np.zeros(len(an), np.int64) for _ in range(3))
+    order = np.argsort(place, kind="stable")
+    bounds = np.searchsorted(place[order], np.arange(place.max() + 2 if len(place) else 1))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        m = order[a:b]
+        p = pair[m]
+        at = np.maximum(left[m], np.maximum(ea[p], eb[p] - shift[m]))
+        ok = at < right[m]
+        m, p, at = m[ok], p[ok], at[ok]
+        cost[p] += np.maximum(at - ea[p], at + shift[m] - eb[p])
+        ea[p], eb[p] = right[m], right[m] + shift[m]
+    return cost + np.maximum(an - ea, bn - eb)
+
+
 def _maximal(a, a0, an, x, b, b0, bn, y) -> tuple[np.ndarray, np.ndarray]:
     """First and last word in a of the maximal match around each common place."""
     left, right = x.copy(), x.copy()
@@ -234,7 +280,7 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, ein_col: str, split_col:
     """
     split = F.lower(F.trim(split_col))
     rows = df.filter(F.col(split_col).isNotNull()).select(F.col(id_col).alias("id"), (split == train).alias("train"), nine_digits(ein_col).alias("ein"), F.col(text_col).alias("text"))
-    rows = written(_word_rows(with_form(rows, "text"), least).withColumn("key", F.unhex(F.md5("norm"))), "overlap-rows")
+    rows = written(_word_rows(rows, least), "overlap-rows")
     kinds = rows.filter("norm is not null").groupBy("key").agg(F.first("norm").alias("norm"), F.max("train").alias("in_train"), F.min("train").alias("only_train"))
     found = text_overlaps(kinds.filter("in_train"), kinds.filter("not only_train"), share)
     a = rows.filter("train").select(F.col("key").alias("train_key"), F.col("id").alias("train_id"), F.col("ein").alias("train_ein"))
@@ -250,8 +296,10 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, ein_col: str, split_col:
 
 
 def report(df: DataFrame, pairs: DataFrame, id_col: str, split_col: str, source_col: str, train: str = "train") -> DataFrame:
-    """Per split and source: rows, rows with an overlap, and pairs; training rows are reported under their own split."""
-    ends = pairs.select(F.explode(F.array("train_id", "eval_id")).alias("__id"))
-    per_row = ends.groupBy("__id").agg(F.count("*").alias("__pairs"))
+    """Per split and source: rows, rows with an overlap, pairs, and over the pairs found by text their spans and matched words;
+    training rows are reported under their own split."""
+    ends = pairs.select(F.explode(F.array("train_id", "eval_id")).alias("__id"), "matched_words", "spans")
+    per_row = ends.groupBy("__id").agg(F.count("*").alias("__pairs"), F.sum("spans").alias("__spans"), F.sum("matched_words").alias("__words"))
     rows = df.select(F.col(id_col).alias("__id"), F.lower(F.trim(split_col)).alias("split"), F.col(source_col).alias("data_source"))
-    return rows.join(per_row, "__id", "left").groupBy("split", "data_source").agg(F.count("*").alias("n_rows"), F.count("__pairs").alias("n_overlapping"), F.coalesce(F.sum("__pairs"), F.lit(0)).alias("n_pairs"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.join(per_row, "__id", "left").groupBy("split", "data_source").agg(F.count("*").alias("n_rows"), F.count("__pairs").alias("n_overlapping"), total("__pairs").alias("n_pairs"), total("__spans").alias("n_spans"), total("__words").alias("matched_words"))

@@ -1,8 +1,10 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweave.llm import lookalike, overlap
 from tallyweave.llm.fm_index import FmIndex, within
@@ -80,6 +82,21 @@ def test_overlaps_against_brute_force(spark):
     assert all(r["matched_words"] > 0 and r["spans"] >= 1 for r in got if r["by_text"])
 
 
+def test_chains_bound_the_distance():
+    rng = random.Random(7)
+    docs = [[rng.randint(1, 6) for _ in range(rng.randint(1, 30))] for _ in range(400)]
+    near = [[x if rng.random() < 0.9 else rng.randint(1, 6) for x in d if rng.random() < 0.95] or [1] for d in docs]
+    flat = lambda x: (np.array([w for d in x for w in d]), np.cumsum([len(d) for d in x]) - [len(d) for d in x], np.array([len(d) for d in x]))
+    (a, a0, an), (b, b0, bn) = flat(docs), flat(near)
+    pair = np.repeat(np.arange(len(docs)), 3)
+    x, y = (np.array([rng.randrange(k) for k in n[pair]]) for n in (an, bn))
+    same = a[a0[pair] + x] == b[b0[pair] + y]
+    pair, x, y = pair[same], x[same], y[same]
+    left, right = overlap._maximal(a, a0[pair], an[pair], x, b, b0[pair], bn[pair], y)
+    for k, c in enumerate(overlap._chained(pair, left, right, y - x, an, bn)):
+        assert lev(docs[k], near[k]) <= c
+
+
 def test_small_shards_give_the_same(spark, monkeypatch):
     rows = [(i, f"one two three four five six seven eight nine {'ten' if i % 2 else 'zehn'} eleven {i % 7}") for i in range(40)]
     df = spark.createDataFrame(rows, "i long, norm string").selectExpr("unhex(md5(concat(norm, i))) as key", "norm", "i")
@@ -98,14 +115,14 @@ def test_report(spark):
     t = "a b c d e f g h i j"
     df = spark.createDataFrame([(1, "1", t, "train", "s"), (2, "2", t, "test", "s"), (3, None, t, "test", None)], "sample_id long, EIN2 string, mission_text string, split string, data_source string")
     p = overlap.overlaps(df, "sample_id", "mission_text", "EIN2", "split")
-    got = {(r["split"], r["data_source"]): (r["n_rows"], r["n_overlapping"], r["n_pairs"]) for r in overlap.report(df, p, "sample_id", "split", "data_source").collect()}
-    assert got == {("train", "s"): (1, 1, 2), ("test", "s"): (1, 1, 1), ("test", None): (1, 1, 1)}
+    got = {(r["split"], r["data_source"]): (r["n_rows"], r["n_overlapping"], r["n_pairs"], r["n_spans"], r["matched_words"]) for r in overlap.report(df, p, "sample_id", "split", "data_source").collect()}
+    assert got == {("train", "s"): (1, 1, 2, 2, 20), ("test", "s"): (1, 1, 1, 1, 10), ("test", None): (1, 1, 1, 1, 10)}
 
 
 SAME = [
     ("Latin manage", "Latin mаnage"), ("café", "café"), ("ABC 12", "ＡＢＣ　１２"), ("office fun", "oﬃce fun"), ("zero", "ze​ro﻿"),
     ("Программа", "Прогpaмма"), ("Since", "Ꮪince"), ("program", "proɡram"), ("ёлка", "ёлка"), ("K", "K"), ("civic", "ⅽiviс"),
-    ("soft", "so­ft"), ("a b", "a\tb"), ("СОСО мир", "COCO мир"),
+    ("soft", "so­ft"), ("paɡe", "pɑge"), ("a b", "a\tb"), ("СОСО мир", "COCO мир"),
 ]
 OTHER = [("2", "²"), ("TM", "™"), ("No 5", "№ 5"), ("1/2", "½"), ("a", "á"), ("a b", "a  b"), ("A", "a"), ('"x"', "“x”"), ("a;", "a."), ("a b", "ab")]
 
@@ -134,5 +151,18 @@ def test_pairs(spark):
     forms = {r["sample_id"]: r["form"] for r in lookalike.with_form(df, "mission_text").collect()}
     assert forms[4] is None and forms[5] == "" and forms[6] == " " and Counter(forms.values())["manage"] == 4
     assert lookalike.pairs(df.limit(0), "sample_id", "mission_text").count() == 0
+    assert lookalike.pairs(df.limit(0), "sample_id", "mission_text").count() == 0
     long = "x" * 100_000 + "а"
     assert lookalike.consistent_form(long) == "x" * 100_000 + "a"
+
+
+def test_pairs_of_a_hot_form(spark):
+    # 100,000 copies of one text and one look-alike: as many pairs, and no more work than that
+    df = spark.range(100_001).selectExpr("id as sample_id", "if(id = 70000, 'Our mаnager helps.', 'Our manager helps.') as mission_text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = time.time()
+        got = lookalike.pairs(df, "sample_id", "mission_text").agg(F.count("*").alias("n"), F.count_if(F.expr("sample_id_a = 70000 or sample_id_b = 70000")).alias("with"), F.count_if(F.expr("sample_id_a < sample_id_b")).alias("ordered")).first()
+        assert tuple(got) == (100_000,) * 3 and time.time() - began < 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
