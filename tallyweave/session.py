@@ -27,21 +27,39 @@ def session(app: str = "tallyweave", cores: int | str = "*", shuffle_partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs on one machine (tests).
+
+    On a cluster an unset folder is an error, as no executor could see another machine's files.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if folder:
-        return folder
-    existing = spark.sparkContext.getCheckpointDir()
-    if existing:
-        return existing
+        return qualified(spark, folder)
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, resolved against Spark's default file system, so that all that read it see the same place."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file://" + found[len("file:") :] if found.startswith("file:/") and not found.startswith("file://") else found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; failures of the file system are raised."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Checkpoint to the shared folder: the result survives the loss of any executor."""
-    shared_folder(df.sparkSession)
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager)
 
 
