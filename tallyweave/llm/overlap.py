@@ -34,6 +34,8 @@ from tallyweave.session import written, written_path
 SHARD_WORDS = 1_000_000
 #: Cuts of a text into pieces that are tried.
 CUTS = 6
+#: Occurrences of a text's pieces that are few enough to try no other cut; only speed depends on it.
+RARE = 8
 #: Training words held before they are searched in every shard.
 HELD_WORDS = 2_000_000
 #: Located occurrences handled at once.
@@ -136,10 +138,16 @@ def _search(index: FmIndex, hashes: np.ndarray, starts: np.ndarray, n: np.ndarra
     best = np.full(len(n), np.iinfo(np.int64).max)
     chosen: list[tuple[np.ndarray, ...]] = []
     for k in range(CUTS):
-        text, first, last = _cut(n, share, k)
+        # Texts whose pieces are rare enough already need no other cut.
+        live = np.flatnonzero(best > RARE)
+        if not len(live):
+            break
+        text, first, last = _cut(n[live], share, k)
+        text = live[text]
         low, high = index.backward(ids, starts[text] + first, starts[text] + last)
         cost = np.bincount(text, high - low, len(n)).astype(np.int64)
-        better = cost < best
+        better = np.zeros(len(n), bool)
+        better[live] = cost[live] < best[live]
         best = np.where(better, cost, best)
         chosen = [tuple(x[~better[c[0]]] for x in c) for c in chosen]
         mine = better[text]
