@@ -49,8 +49,8 @@ def votes(df: DataFrame, ein_col: str = "EIN2", model_col: str = "model_id", pro
     disagree, ``yes`` is the share of +1. The partial sums are taken before the shuffle, so a control item with
     a third of all rows arrives as a few rows per task.
     """
-    word = F.regexp_replace(F.lower(label_col), "[^a-z]", "")
-    vote = F.create_map(*[F.lit(x) for kv in WORDS.items() for x in kv])[word]
+    votes_of = F.create_map(*[F.lit(x) for kv in WORDS.items() for x in kv])
+    vote = F.transform(F.array(F.regexp_replace(F.lower(label_col), "[^a-z]", "")), lambda w: votes_of[w])[0]
     rows = df.filter(F.col(error_col).isNull()).select(
         standard_ein(ein_col).alias("item"), F.when(F.col(model_col).isNotNull() & F.col(prompt_col).isNotNull(), F.concat_ws("__", model_col, prompt_col)).alias("annotator"), vote.alias("v")
     ).dropna()
