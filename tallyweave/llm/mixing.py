@@ -1,9 +1,11 @@
 """Mixing sources to target weights with a budget of tokens and a limit of repetitions.
 
 Shares are tempered: a source's weight is its token share to the power of an exponent, normalised. An
-exponent of 1 keeps the natural shares, 0 makes all sources equal. Two exponents are bisected: the
-one whose weights have the entropy of the targets (reported), and the flattest one at which the
-budget that short sources leave open can be spread without any other source passing its limit.
+exponent of 1 keeps the natural shares, 0 makes all sources equal. The exponent is bisected so that the tempered
+shares have the entropy of the targets; where these would repeat a source beyond its limit, it is bisected on towards the natural
+shares until none is. A source whose limit allows its target gets the target; what short sources leave open is
+spread by the tempered shares. The budgets are realised as block permutations, and whether a source falls
+short is read from the documents that were used.
 """
 
 from __future__ import annotations
@@ -55,14 +57,13 @@ def entropy_exponent(tokens: list[float], weights: list[float]) -> float:
 def plan_mix(rows: list[dict], budget: int) -> list[dict]:
     """Tokens to give per source. rows: source, target_weight, max_repeats, tokens.
 
-    A source asks for target_weight x budget and gets it unless max_repeats x tokens is less: it then
-    falls short and gives all it has. What is left open goes to the sources with room, by tempered
-    shares of the flattest exponent that overfills none; where every exponent overfills some, these
+    A source asks for target_weight x budget and gets it unless max_repeats x tokens is less: it then gives all it has.
+    What is left open goes to the sources with room, by tempered shares of the targets' entropy if these overfill none,
+    else of the nearest exponent towards 1 that overfills none; where 1 does too, the overfilled sources
     give all they have and the rest is spread again.
     """
     out = [r | {"capacity": r["max_repeats"] * r["tokens"], "asked": r["target_weight"] * budget} for r in rows]
     for r in out:
-        r["short"] = r["capacity"] < r["asked"]
         r["given"] = float(min(r["capacity"], r["asked"]))
         r["spread_exponent"] = None
     sizes = [float(r["tokens"]) for r in out]
@@ -75,10 +76,11 @@ def plan_mix(rows: list[dict], budget: int) -> list[dict]:
             break
         of = [float(r["tokens"]) for r in room]
         fits = lambda e: all(open_ * w <= r["capacity"] - r["given"] for w, r in zip(tempered(of, e), room, strict=True))  # noqa: B023, E731
-        flattest = 0.0 if fits(0.0) else bisect(fits, 0.0, 1.0)
-        for w, r in zip(tempered(of, flattest), room, strict=True):
+        # along the way from the entropy's exponent to the natural shares
+        chosen = exponent + (1 - exponent) * (0.0 if fits(exponent) else bisect(lambda v: fits(exponent + (1 - exponent) * v), 0.0, 1.0))  # noqa: B023
+        for w, r in zip(tempered(of, chosen), room, strict=True):
             r["given"] = min(float(r["capacity"]), r["given"] + open_ * w)
-            r["spread_exponent"] = flattest
+            r["spread_exponent"] = chosen
     for r in out:
         r["entropy_exponent"] = exponent
     return out
@@ -90,13 +92,13 @@ def token_table(docs: DataFrame, id_col: str, text_col: str, source_col: str, pa
     return written(count_tokens(rows, ["doc", "source"], "text", path), "mix-tokens")
 
 
-PLAN = "mix_id int, source string, target_weight double, max_repeats int, budget_tokens long, tokens long, capacity long, asked double, given long, short boolean, entropy_exponent double, spread_exponent double"
+PLAN = "mix_id int, source string, target_weight double, max_repeats int, budget_tokens long, tokens long, capacity long, asked double, given long, entropy_exponent double, spread_exponent double"
 
 
 def plan(tokens: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target: the source's tokens, what it asks, what it gives, whether it falls short.
+    """One row per target: the source's tokens, what it asks, what it gives, and the exponents.
 
-    A target source without documents has 0 tokens and falls short. The target table is as small as
+    A target source without documents has 0 tokens. The target table is as small as
     the number of sources named in it, so it is planned on the driver over one sum per source; an
     empty target table gives an empty plan. Null target sources are kept as sources without documents.
     """
@@ -109,7 +111,7 @@ def plan(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     for mix in sorted({r["mix_id"] for r in rows}):
         own = [r | {"tokens": r["tokens"] or 0} for r in rows if r["mix_id"] == mix]
         for r in plan_mix(own, own[0]["budget_tokens"]):
-            planned.append((r["mix_id"], r["source"], r["target_weight"], r["max_repeats"], r["budget_tokens"], r["tokens"], r["capacity"], float(r["asked"]), int(r["given"] + 1e-6), r["short"], r["entropy_exponent"], r["spread_exponent"]))
+            planned.append((r["mix_id"], r["source"], r["target_weight"], r["max_repeats"], r["budget_tokens"], r["tokens"], r["capacity"], float(r["asked"]), int(r["given"] + 1e-6), r["entropy_exponent"], r["spread_exponent"]))
     return spark.createDataFrame(planned, PLAN)
 
 
@@ -141,8 +143,10 @@ def realise(tokens: DataFrame, planned: DataFrame, seed: int = 7, blocks: int =
 
 
 def actual(planned: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The plan with each source's actual tokens and its actual share of the mix."""
+    """The plan with each source's actual tokens and its actual share of the mix, and ``falls_short``: whether the mix used all
+    its documents max_repeats times and still holds less than it asks. A source without documents falls short."""
     got = mixed.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("actual_tokens"), F.max("repeats").alias("most_repeats"))
     full = planned.withColumn("__s", source_name(F.col("source"))).join(F.broadcast(got.withColumnRenamed("source", "__s")), ["mix_id", "__s"], "left").drop("__s")
-    tokens = F.coalesce("actual_tokens", F.lit(0))
-    return full.withColumn("actual_tokens", tokens).withColumn("most_repeats", F.coalesce("most_repeats", F.lit(0))).withColumn("actual_share", F.try_divide(F.col("actual_tokens"), F.sum("actual_tokens").over(Window.partitionBy("mix_id"))))
+    full = full.withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0))).withColumn("most_repeats", F.coalesce("most_repeats", F.lit(0)))
+    full = full.withColumn("falls_short", (F.col("actual_tokens") >= F.col("capacity")) & (F.col("actual_tokens") < F.col("asked")))
+    return full.withColumn("actual_share", F.try_divide(F.col("actual_tokens"), F.sum("actual_tokens").over(Window.partitionBy("mix_id"))))

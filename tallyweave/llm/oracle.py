@@ -36,7 +36,7 @@ ranked as (select p.*, u.ein, row_number() over (partition by p.draw_id, p.g, p.
 crossed as (select *, (cast(r as hugeint) * e // available + start) // 1000000 > (cast(r - 1 as hugeint) * e // available + start) // 1000000 as hit from ranked),
 counted as (select *, count(*) filter (where hit) over (partition by draw_id, g, t) as drawn from crossed),
 spare as (select *, row_number() over (partition by draw_id, g, t order by hit, r) as s from counted),
-sample as (select draw_id, ein, g, t, e / 1000000 / available as prob, case when hit then 'systematic' else 'floor' end as how from spare where hit or s <= least(min_rows, available) - drawn)"""
+sample as (select draw_id, ein, g, t, greatest(e / 1000000, least(min_rows, available)) / available as prob, case when hit then 'systematic' else 'floor' end as how from spare where hit or s <= least(min_rows, available) - drawn)"""
 
 
 def oracle_sql() -> dict[str, str]:

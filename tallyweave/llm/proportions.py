@@ -3,7 +3,11 @@
 Systematic unequal-probability sampling: the units of a draw are ordered by cell and, inside a cell,
 at random; inclusion probabilities are summed along this order, and a unit is drawn where the sum
 passes an integer counted from one random start. Sums are whole millionths, so no rounding can lose
-or double a unit. Floors are repaired afterwards.
+or double a unit. Floors are repaired afterwards: a cell with fewer drawn units than its floor takes the next ones of its
+random order. As the order is random and the cell then holds its floor in every draw, each of its units has the
+probability floor / units.
+
+A cell that falls short leaves its part of the draw open; other cells keep their own targets and don't take it over.
 """
 
 from __future__ import annotations
@@ -63,7 +67,8 @@ def draw(frame: DataFrame, targets: DataFrame, seed: int = 23) -> DataFrame:
     rows = rows.join(sizes, [*key, "block"]).withColumn("rank", F.col("before") + F.col("place"))
     reach = lambda r: F.floor(F.expr(f"cast(cast({r} as decimal(19,0)) * cast(e as decimal(18,0)) as decimal(37,0)) div cast(available as decimal(19,0))")) + F.col("offset")
     rows = rows.withColumn("crossed", F.floor(reach("rank") / MICRO) > F.floor(reach("rank - 1") / MICRO))
-    rows = rows.withColumn("inclusion_prob", F.col("e") / MICRO / F.col("available"))
+    size = F.greatest(F.col("e") / MICRO, F.least(F.col("min_rows").cast("long"), F.col("available")).cast("double"))
+    rows = rows.withColumn("inclusion_prob", size / F.col("available"))
     drawn = rows.filter("crossed").select(*key, "ein", "inclusion_prob", F.lit("systematic").alias("how"))
     # A cell below its floor has fewer than min_rows drawn units, so twice min_rows ranks hold enough others.
     low = rows.filter(F.col("rank") <= 2 * F.col("min_rows"))
@@ -74,8 +79,10 @@ def draw(frame: DataFrame, targets: DataFrame, seed: int = 23) -> DataFrame:
 
 
 def report(frame: DataFrame, targets: DataFrame, sample: DataFrame) -> DataFrame:
-    """needs() with the rows drawn per target and their share of the draw."""
+    """needs() with the rows drawn per target and their share of the draw. ``met`` is judged by the sample: a target is not met
+    if the draw took all units of its cell, or there are none, and they are fewer than its need."""
     key = ["draw_id", "cell_group", "cell_tier"]
     got = sample.groupBy(*key).agg(F.count("*").alias("drawn"))
     out = needs(frame, targets).join(got, key, "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("long")))
+    out = out.withColumn("met", (F.col("drawn") >= F.col("need")) | (F.col("drawn") < F.col("available")))
     return out.withColumn("drawn_share", F.try_divide(F.col("drawn"), F.sum("drawn").over(Window.partitionBy("draw_id"))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import consensus, ledger, lookalike, mixing, overlap, proportions, sentences, tokenizer, truncation
-from tallyweave.session import cut_lineage, table
+from tallyweave.session import cut_lineage, table, written
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,13 @@ def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return proportions.needs(*_cells(spark, d)).filter("not met").select("target_id")
+    return _p4(spark, d).filter("not met").select("target_id")
+
+
+def _p4(spark: SparkSession, d: str) -> DataFrame:
+    frame, targets = _cells(spark, d)
+    frame = written(frame, "draw-frame")
+    return proportions.report(frame, targets, written(proportions.draw(frame, targets), "draw-sample"))
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -50,9 +56,7 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    frame, targets = _cells(spark, d)
-    got = proportions.report(frame, targets, cut_lineage(proportions.draw(frame, targets)))
-    return got.select("target_id", "draw_id", F.col("cell_group").alias("ntee_major_group"), F.col("cell_tier").alias("tier"), "need", "available", "met", "drawn", F.round("drawn_share", 9).alias("drawn_share"))
+    return _p4(spark, d).select("target_id", "draw_id", F.col("cell_group").alias("ntee_major_group"), F.col("cell_tier").alias("tier"), "need", "available", "met", "drawn", F.round("drawn_share", 9).alias("drawn_share"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +93,7 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[1].filter("short").select("mix_id", "source")
+    return p8_report(spark, d).filter("falls_short").select("mix_id", "source")
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:

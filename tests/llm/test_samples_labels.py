@@ -22,6 +22,25 @@ def test_ledger_keeps_members(spark, tmp_path):
     assert ledger.replay(df.limit(0), "EIN2", "load_batch").count() == 0
 
 
+def test_one_pass_draws_as_many_steps_do(spark, tmp_path):
+    rows = [(f"{i:09d}", 1 + (i * 7919) % 5) for i in range(900)]
+    df = spark.createDataFrame(rows, SAMPLE)
+    keys = df.select(ledger.standard_ein("EIN2").alias("key"), "load_batch")
+    held = None
+    for g in range(1, 6):
+        new = ledger.grow(held, keys.filter(F.col("load_batch") <= g).select("key"), g).collect()
+        held = spark.createDataFrame([*(held.collect() if held else []), *new], ledger.LEDGER)
+    assert sorted(map(tuple, ledger.replay(df, "EIN2", "load_batch").collect())) == sorted(map(tuple, held.collect()))
+
+
+def test_a_ledger_that_cannot_be_read_is_an_error(spark, tmp_path):
+    bad = tmp_path / "ledger"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_text("no table")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        ledger.replay(spark.createDataFrame([("1", 1)], SAMPLE), "EIN2", "load_batch", str(bad))
+
+
 def test_lowest_is_exact(spark):
     keys = spark.range(500).select(F.col("id").cast("string").alias("key"), (F.col("id") % 50 * 20_000_000_000_000_000).alias("priority"))
     want = sorted((r["priority"], r["key"]) for r in keys.collect())
@@ -47,8 +66,11 @@ def test_draw_matches_targets(spark):
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, proportions.draw(frame.repartition(9), targets).collect()))
     rep = {r["target_id"]: r for r in proportions.report(frame, targets, s).collect()}
     assert not rep[3]["met"] and rep[3]["need"] == 3 and rep[3]["drawn"] == 1 and rep[1]["met"] and rep[1]["available"] == 900
+    assert {r["target_id"] for r in rep.values() if not r["met"]} == {3}
+    probs = {(r["draw_id"], r["cell_group"]): r["inclusion_prob"] for r in s.collect()}
+    assert probs[2, "B"] == pytest.approx(9 / 100) and probs[1, "C"] == 1  # a repaired cell has its floor's probability
     assert proportions.draw(frame.limit(0), targets).count() == 0 and proportions.draw(frame, targets.limit(0)).count() == 0
-    assert proportions.needs(frame.limit(0), targets).filter("not met").count() == 5
+    assert proportions.report(frame.limit(0), targets, proportions.draw(frame.limit(0), targets)).filter("not met").count() == 5
 
 
 def test_inclusion_probabilities(spark):

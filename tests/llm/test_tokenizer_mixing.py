@@ -53,10 +53,10 @@ def test_mix_meets_budget_and_repeats(spark):
     tokens, planned, mixed = mix(spark, docs, [(1, "big_one", 0.7, 1, 600), (1, "small", 0.2, 3, 600), (1, "gone", 0.1, 9, 600)])
     got = {r["source"]: r for r in planned.collect()}
     assert got["big_one"]["tokens"] == 900 and got["small"]["tokens"] == 10 and got["gone"]["tokens"] == 0
-    assert [got[s]["short"] for s in ("big_one", "small", "gone")] == [False, True, True]
     assert got["small"]["given"] == 30 and got["big_one"]["given"] == 570
     used = {r["source"]: r for r in mixing.actual(planned, mixed).collect()}
     assert 565 < used["big_one"]["actual_tokens"] <= 570 and used["small"]["actual_tokens"] == 30 and used["small"]["most_repeats"] == 3
+    assert [used[s]["falls_short"] for s in ("big_one", "small", "gone")] == [False, True, True]
     assert sum(r["actual_share"] for r in used.values()) == pytest.approx(1)
     assert mixed.groupBy("doc").count().filter("count > 1").count() == 0
     again = mixing.realise(tokens.repartition(9), planned, blocks=8)
@@ -65,7 +65,7 @@ def test_mix_meets_budget_and_repeats(spark):
 
 def test_mix_without_documents_or_targets(spark):
     tokens, planned, mixed = mix(spark, [], [(1, "x", 1.0, 2, 100)])
-    assert planned.first()["short"] and mixed.count() == 0
+    assert mixing.actual(planned, mixed).first()["falls_short"] and mixed.count() == 0
     assert mixing.plan(tokens, spark.createDataFrame([], TARGETS)).count() == 0
 
 
@@ -75,7 +75,19 @@ def test_exponents():
     assert e == pytest.approx(0.4, abs=1e-6) and mixing.tempered(sizes, 0.0) == pytest.approx([1 / 3] * 3) and mixing.tempered([0.0, 0.0], 1.0) == [0.0, 0.0]
     rows = [{"source": s, "target_weight": w, "max_repeats": 1, "tokens": t} for s, w, t in (("a", 0.6, 10), ("b", 0.2, 30), ("c", 0.2, 1000))]
     out = {r["source"]: r for r in mixing.plan_mix(rows, 100)}
-    assert out["a"]["short"] and sum(r["given"] for r in out.values()) == pytest.approx(100) and all(r["given"] <= r["capacity"] for r in out.values())
+    assert out["a"]["given"] == 10 and sum(r["given"] for r in out.values()) == pytest.approx(100) and all(r["given"] <= r["capacity"] for r in out.values())
+
+
+def test_open_budget_follows_the_tempered_shares():
+    rows = [{"source": s, "target_weight": w, "max_repeats": 2, "tokens": t} for s, w, t in (("a", 0.6, 10), ("b", 0.2, 400), ("c", 0.2, 1600))]
+    out = {r["source"]: r for r in mixing.plan_mix(rows, 100)}
+    e = out["b"]["entropy_exponent"]
+    w = mixing.tempered([400.0, 1600.0], e)
+    assert out["b"]["spread_exponent"] == e and out["b"]["given"] == pytest.approx(20 + 40 * w[0]) and out["c"]["given"] == pytest.approx(20 + 40 * w[1])
+    tight = [{"source": s, "target_weight": w, "max_repeats": 1, "tokens": t} for s, w, t in (("a", 0.8, 10), ("b", 0.1, 25), ("c", 0.1, 1600))]
+    out = {r["source"]: r for r in mixing.plan_mix(tight, 100)}
+    assert out["b"]["given"] <= 25 + 1e-9 and out["b"]["spread_exponent"] >= out["b"]["entropy_exponent"] and sum(r["given"] for r in out.values()) == pytest.approx(100)
+    assert all(r["spread_exponent"] is None and r["given"] == r["asked"] for r in mixing.plan_mix(rows[1:], 100))
 
 
 def test_source_names(spark):
