@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 #: Fixed value: the published pattern that splits text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words remembered per process; only speed depends on it.
+#: Words and arcs remembered per process; only speed depends on it.
 MEMO_WORDS = 400_000
+MEMO_ARCS = 4_000_000
 
 
 def default_path() -> str:
@@ -49,11 +50,10 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class Automaton:
-    """The tokenization automaton of a vocabulary file."""
+    """The tokenization automaton of a vocabulary file's content."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, content: bytes):
+        model = json.loads(content)["model"]
         at = _byte_of_char()
         spelled = lambda s: bytes(at[c] for c in s)
         self.bytes_of = {i: spelled(s) for s, i in model["vocab"].items() if all(c in at for c in s)}
@@ -121,6 +121,8 @@ class Automaton:
                     key = x << 20 | y
                     ok = arcs.get(key)
                     if ok is None:
+                        if len(arcs) >= MEMO_ARCS:
+                            arcs.clear()
                         ok = arcs[key] = self.arc(x, y)
                     if not ok:
                         continue
@@ -151,9 +153,23 @@ class Automaton:
         return b"".join(self.bytes_of[int(i)] for i in ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+def vocabulary(path: str | None) -> bytes:
+    with open(path or default_path(), "rb") as f:
+        return f.read()
+
+
 def automaton(path: str) -> Automaton:
-    return Automaton(path)
+    return _compiled(vocabulary(path))
+
+
+@lru_cache(maxsize=2)
+def _compiled(content: bytes) -> Automaton:
+    return Automaton(content)
+
+
+def _shipped(df: DataFrame, path: str | None):
+    """The vocabulary, read on the driver and sent to the executors, which need no copy of the file; a few megabytes."""
+    return df.sparkSession.sparkContext.broadcast(vocabulary(path))
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
@@ -162,11 +178,11 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -
     Null and empty texts have an empty list. Repeated ids and repeated texts are encoded row by row;
     other columns are not read. No shuffle: one pass over two columns.
     """
-    path = path or default_path()
+    content = _shipped(df, path)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = _compiled(content.value)
         for batch in batches:
             flat, ends = [], [0]
             for text in batch.column(1).to_pylist():
@@ -180,11 +196,11 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -
 
 def count_tokens(df: DataFrame, keep: list[str], text_col: str, path: str | None = None) -> DataFrame:
     """The columns ``keep`` and ``n_tokens long`` of every row; 0 for null and empty texts."""
-    path = path or default_path()
+    content = _shipped(df, path)
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = _compiled(content.value)
         for batch in batches:
             n = pa.array([len(a.encode(t)) for t in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*keep, "n_tokens"])
@@ -194,11 +210,11 @@ def count_tokens(df: DataFrame, keep: list[str], text_col: str, path: str | None
 
 def decode(df: DataFrame, id_col: str, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """``id_col, text``: the bytes of the arc labels, put together; a null list gives null, an empty one an empty text."""
-    path = path or default_path()
+    content = _shipped(df, path)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = _compiled(content.value)
         for batch in batches:
             texts = [None if ids is None else a.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
