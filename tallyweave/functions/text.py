@@ -47,7 +47,7 @@ def word_count(col: Column | str) -> Column:
     return F.size(word_list(col))
 
 
-def quality(col: Column | str, verbs=L.terms(L.VERBS), beneficiaries=L.terms(L.BENEFICIARIES), activities=L.terms(L.ACTIVITIES), boilerplate=L.BOILERPLATE, vague=L.VAGUE) -> Column:
+def quality(col: Column | str, verbs=L.VERBS, beneficiaries=L.BENEFICIARIES, activities=L.ACTIVITIES, boilerplate=L.BOILERPLATE, vague=L.VAGUE) -> Column:
     """Struct of the rubric's parts and their sum ``q``. Null counts as the empty text."""
     n = word_count(col)
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
@@ -67,12 +67,12 @@ def tier(q: Column | str, high: float = 5.0, medium: float = 3.0) -> Column:
     return F.when(_col(q) >= high, "HIGH").when(_col(q) >= medium, "MEDIUM").otherwise("LOW")
 
 
-def rule_label(col: Column | str, strong=L.terms(L.STRONG), religious=L.terms(L.RELIGIOUS)) -> Column:
+def rule_label(col: Column | str, strong=L.STRONG, religious=L.RELIGIOUS) -> Column:
     """1 for a strong term, 0 for a short text without any term, else null."""
     return F.when(has_any(col, strong), 1).when((word_count(col) < 6) & ~has_any(col, religious), 0)
 
 
-def positive_rescue(col: Column | str, q: Column | str, strong=L.terms(L.STRONG), verbs=L.terms(L.VERBS)) -> Column:
+def positive_rescue(col: Column | str, q: Column | str, strong=L.STRONG, verbs=L.VERBS) -> Column:
     return (_col(q) >= 4.5) & (_col(q) < 5.0) & has_any(col, strong) & has_any(col, verbs)
 
 
@@ -86,16 +86,14 @@ def route(col: Column | str, tier_col: Column | str, low_to_rules: bool = True,
 
 
 def boundary_class(col: Column | str) -> Column:
-    """First of saint, spiritual, ministry, faith_heritage and boilerplate_religious that fits, else none."""
+    """First boundary class that fits (see ``lexicon.BOUNDARY``), else none."""
     t = F.lower(F.coalesce(_col(col), F.lit("")))
     has = lambda p: t.rlike(rf"(?U){START}(?:{p})".replace(r"\w", WORD).replace(r"\b", END))
-    words = lambda w: "(?:" + w + r")\b"
-    saint = has(r"st\.?\s+\w+|saint\s+\w+") & ~has(words("church|diocese|catholic|parish|christian"))
-    spirit = has(words("spiritual")) & ~has(words("christ|christian|jesus|gospel|bible|church|synagogue|mosque|temple|islam|muslim|jewish|hindu|buddhist"))
-    ministry = has(words("ministry|ministries")) & ~has(words("|".join(L.terms(L.STRONG))))
-    faith = has(words("faith|judeo-christian")) & ~has(words("christ|christian|jesus|gospel|bible|church|synagogue|mosque|temple"))
-    clause = has(r"religious,\s+charitable\s+and\s+educational\b")
-    return F.when(saint, "saint").when(spirit, "spiritual").when(ministry, "ministry").when(faith, "faith_heritage").when(clause, "boilerplate_religious").otherwise("none")
+    out = F.lit("none")
+    for name, pattern, without in reversed(L.BOUNDARY):
+        fits = has(pattern) & ~has(f"(?:{'|'.join(without)})\\b") if without else has(pattern)
+        out = F.when(fits, name).otherwise(out)
+    return out
 
 
 def group_letter(code: Column | str) -> Column:
@@ -182,10 +180,5 @@ def conflict_categories(name: Column | str, no_flags: Column) -> Column:
     """Review cues of a name, as an array; a saint's name counts only where no external flag is set."""
     c = F.coalesce(_col(name), F.lit(""))
     has = lambda p: c.rlike(r"(?iU)" + p.replace(r"\b(?:", START + "(?:").replace(r"\b", END).replace(r"\w", WORD))
-    cues = [
-        ("saint_name", has(r"\b(?:st\.?|saint)\s+\w+") & no_flags),
-        ("faith_heritage", has(r"\b(?:faith|grace|trinity|covenant|heritage)\b")),
-        ("non_christian_tradition", has(r"\b(?:buddh(?:ist|a)?|gurdwara|hindu|islam(?:ic)?|jain|masjid|mosque|muslim|sikh|synagogue|temple)\b")),
-        ("non_english_name", has(r"\b(?:amigos|asociacion|associazione|associacao|centro|comunidad|cultura|culturelle|ecole|escuela|fondation|fundacion|gemeinde|iglesia|societe|sociedad|verein)\b|[^\x00-\x7f]")),
-    ]
+    cues = [(k, has(p) & no_flags if k == "saint_name" else has(p)) for k, p in L.CUES]
     return F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, cond in cues]))

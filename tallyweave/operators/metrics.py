@@ -73,37 +73,54 @@ def score_counts(df: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame
     return df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(p).alias("threshold")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg"))
 
 
+#: Blocks of the score range: running totals are taken over the blocks first and then inside each.
+BLOCKS = 1024
+
+
+def running(c: DataFrame, values: list[str], by: list[str] = (), down: bool = True) -> DataFrame:
+    """c (one row per ``threshold`` and group) with ``{v}_upto``, the running total of each value from the highest score down (or from the lowest up),
+    the row's own included, and ``{v}_all``. Blocks of scores are summed first, at most BLOCKS rows per group, so no task ever orders
+    all scores; equal blocks are ordered in parallel. Scores outside [0, 1] belong to the end blocks."""
+    rows = c.withColumn("__b", F.floor(F.least(F.greatest(F.col("threshold"), F.lit(0.0)), F.lit(1.0)) * BLOCKS).cast("int"))
+    order = (lambda x: F.desc(x)) if down else F.asc
+    key = [F.coalesce(F.col(g).cast("string"), F.lit("\0")).alias(f"__g{i}") for i, g in enumerate(by)]
+    names = [f"__g{i}" for i in range(len(by))]
+    rows = rows.select("*", *key)
+    sums = rows.groupBy(*names, "__b").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
+    before, every = Window.partitionBy(*names).orderBy(order("__b")).rowsBetween(ALL, -1), Window.partitionBy(*names)
+    sums = sums.select(*names, "__b", *[F.coalesce(F.sum(f"__s_{v}").over(before), F.lit(0)).alias(f"__before_{v}") for v in values], *[F.sum(f"__s_{v}").over(every).alias(f"{v}_all") for v in values])
+    inside = Window.partitionBy(*names, "__b").orderBy(order("threshold")).rowsBetween(ALL, 0)
+    rows = rows.select("*", *[F.sum(v).over(inside).alias(f"__in_{v}") for v in values]).join(sums, [*names, "__b"])
+    out = rows.select("*", *[(F.col(f"__before_{v}") + F.col(f"__in_{v}")).alias(f"{v}_upto") for v in values])
+    return out.drop("__b", *names, *[f"__before_{v}" for v in values], *[f"__in_{v}" for v in values])
+
+
 def pr_curve(df: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame:
     """Precision, recall and F1 at every distinct score as threshold."""
-    part = list(by) or [F.lit(0)]
-    down = Window.partitionBy(*part).orderBy(F.desc("threshold")).rowsBetween(ALL, 0)
-    c = score_counts(df, y, p, by).withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).withColumn("fn", F.sum("pos").over(Window.partitionBy(*part)) - F.col("tp"))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return c.select(*by, "threshold", "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    c = running(score_counts(df, y, p, by), ["pos", "neg"], by)
+    tp, fp, fn = F.col("pos_upto"), F.col("neg_upto"), F.col("pos_all") - F.col("pos_upto")
+    return c.select(*by, "threshold", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
 def roc_curve(df: DataFrame, y: str, p: str) -> DataFrame:
     """False and true positive rate at every distinct score, and the start (0, 0)."""
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("threshold")).rowsBetween(ALL, 0)
-    every = Window.partitionBy(F.lit(0))
-    c = score_counts(df, y, p)
-    points = c.select("threshold", ratio(F.sum("neg").over(down), F.sum("neg").over(every)).alias("fpr"), ratio(F.sum("pos").over(down), F.sum("pos").over(every)).alias("tpr"))
+    c = running(score_counts(df, y, p), ["pos", "neg"])
+    points = c.select("threshold", ratio(F.col("neg_upto"), F.col("neg_all")).alias("fpr"), ratio(F.col("pos_upto"), F.col("pos_all")).alias("tpr"))
     start = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return points.unionByName(start)
 
 
 def average_precision(df: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame:
-    step = Window.partitionBy(*(list(by) or [F.lit(0)])).orderBy(F.desc("threshold"))
-    c = pr_curve(df, y, p, by).withColumn("gain", F.col("recall") - F.coalesce(F.lag("recall").over(step), F.lit(0.0)))
-    return c.groupBy(*by).agg(F.sum(F.col("gain") * F.col("precision")).alias("average_precision"))
+    """Precision at each score, weighted by the share of positives that the score adds."""
+    c = running(score_counts(df, y, p, by), ["pos", "neg"], by)
+    gain = ratio(F.col("pos"), F.col("pos_all"))
+    return c.groupBy(*by).agg(F.sum(gain * ratio(F.col("pos_upto"), F.col("pos_upto") + F.col("neg_upto"))).alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties as halves; null without both classes."""
-    part = list(by) or [F.lit(0)]
-    below = Window.partitionBy(*part).orderBy("threshold").rowsBetween(ALL, -1)
-    c = score_counts(df, y, p, by).withColumn("lower", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / 2))
+    c = running(score_counts(df, y, p, by), ["neg"], by, down=False)
+    won = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
     return c.groupBy(*by).agg(F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
@@ -125,10 +142,8 @@ def pick_threshold(df: DataFrame, y: str, p: str, policy: str = "precision_floor
 def base_rate_points(df: DataFrame, y: str, p: str, pi: float, w: str | None = None) -> DataFrame:
     """At every score: weighted true and false positive rate, and precision if the class made up pi of the population."""
     weight = F.col(w) if w else F.lit(1.0)
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("threshold")).rowsBetween(ALL, 0)
-    every = Window.partitionBy(F.lit(0))
-    c = df.groupBy(F.col(p).alias("threshold")).agg(F.sum(F.when(F.col(y) == 1, weight).otherwise(0.0)).alias("wp"), F.sum(F.when(F.col(y) == 0, weight).otherwise(0.0)).alias("wn"))
-    c = c.select("threshold", ratio(F.sum("wp").over(down), F.sum("wp").over(every)).alias("tpr"), ratio(F.sum("wn").over(down), F.sum("wn").over(every)).alias("fpr"))
+    c = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("threshold")).agg(F.sum(F.when(F.col(y) == 1, weight).otherwise(0.0)).alias("wp"), F.sum(F.when(F.col(y) == 0, weight).otherwise(0.0)).alias("wn"))
+    c = running(c, ["wp", "wn"]).select("threshold", ratio(F.col("wp_upto"), F.col("wp_all")).alias("tpr"), ratio(F.col("wn_upto"), F.col("wn_all")).alias("fpr"))
     return c.withColumn("precision", precision_at_base_rate(F.col("tpr"), F.col("fpr"), pi))
 
 

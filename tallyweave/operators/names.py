@@ -37,19 +37,19 @@ def flag_stratum(x: str = "is_ntee_x", c: str = "is_church_foundation") -> Colum
     return F.when(F.col(x) & F.col(c), "both_external_flags").when(F.col(x), "ntee_x_only").when(F.col(c), "church_foundation_only").otherwise("neither_external_flag")
 
 
-def cleaned(df: DataFrame, name_col: str) -> DataFrame:
+def cleaned(df: DataFrame, name_col: str, suffixes=L.SUFFIXES) -> DataFrame:
     """Names with and without legal suffix; rows whose cleaned name is blank are left out."""
-    return df.withColumn("name_cleaned", clean_name(name_col)).withColumn("name_with_suffix", clean_name(name_col, strip_suffix=False)).filter("name_cleaned != ''")
+    return df.withColumn("name_cleaned", clean_name(name_col, suffixes=suffixes)).withColumn("name_with_suffix", clean_name(name_col, strip_suffix=False)).filter("name_cleaned != ''")
 
 
-def token_loss(df: DataFrame, raw_col: str, clean_col: str, words=L.terms(L.RELIGIOUS)) -> DataFrame:
+def token_loss(df: DataFrame, raw_col: str, clean_col: str, words=L.RELIGIOUS) -> DataFrame:
     """Rows whose cleaned name lost a lexicon token or an acronym of the raw one."""
     lost = F.array_except(lexicon_tokens(raw_col, words), F.transform(name_tokens(clean_col), F.lower))
     acronyms = F.array_except(F.array_intersect(F.transform(name_tokens(raw_col), F.upper), F.array(*map(F.lit, L.ACRONYMS))), name_tokens(clean_col))
     return df.withColumn("lost_tokens", lost).withColumn("lost_acronyms", acronyms).filter((F.size("lost_tokens") > 0) | (F.size("lost_acronyms") > 0))
 
 
-def token_difference(df: DataFrame, a_col: str, b_col: str, words=L.terms(L.STRONG)) -> DataFrame:
+def token_difference(df: DataFrame, a_col: str, b_col: str, words=L.STRONG) -> DataFrame:
     """Lexicon tokens that only one of two names has, and which name adds them; rows without a difference are left out."""
     a, b = lexicon_tokens(a_col, words), lexicon_tokens(b_col, words)
     out = df.withColumn("a_only", F.array_except(a, b)).withColumn("b_only", F.array_except(b, a)).filter((F.size("a_only") > 0) | (F.size("b_only") > 0))
@@ -75,9 +75,13 @@ def top_k_matched(df: DataFrame, p: str, id_col: str, by: str, baseline: str) ->
     above = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     k = F.sum("b").over(Window.partitionBy(by))
     cut = c.select(by, "s", above.alias("above"), k.alias("k"), "n")
-    j = df.join(cut, (df[by] == cut[by]) & (df[p] == cut["s"])).drop(cut[by]).drop("s", "n")
-    at_cut = F.row_number().over(Window.partitionBy(by, p).orderBy(id_col))
-    return j.withColumn("predicted", ((F.col("above") + at_cut) <= F.col("k")).cast("int")).drop("above", "k")
+    # Only the score at which k is passed is ranked; all others lie wholly above or below it.
+    split = (F.col("above") < F.col("k")) & (F.col("above") + F.col("n") > F.col("k"))
+    j = df.join(cut, (df[by] == cut[by]) & (df[p] == cut["s"])).drop(cut[by]).drop("s").withColumn("__split", split)
+    whole = j.filter("not __split").withColumn("predicted", (F.col("above") < F.col("k")).cast("int"))
+    place = F.row_number().over(Window.partitionBy(by, p).orderBy(id_col))
+    some = j.filter("__split").withColumn("predicted", (F.col("above") + place <= F.col("k")).cast("int"))
+    return whole.unionByName(some).drop("above", "k", "n", "__split")
 
 
 def base_rate_shift(df: DataFrame, p: str, by: list[str], threshold: float) -> DataFrame:

@@ -55,13 +55,12 @@ def text_multiplicity(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def expand_back(raw: DataFrame, predictions: DataFrame, text_col: str, id_col: str, columns: list[str]) -> DataFrame:
-    """Every raw row with the prediction of its text; predictions must have one row per text and miss none."""
-    keyed = predictions.select(text_key(text_col).alias("__k"), *columns)
-    assert_unique(keyed, ["__k"])
-    rows = raw.withColumn("__k", text_key(text_col))
-    if rows.select("__k").join(keyed.select("__k"), "__k", "left_anti").limit(1).count():
-        raise ValueError("some rows have no prediction of their text")
-    return rows.join(keyed, "__k", "left").drop("__k")
+    """Every raw row with the prediction of its text. Predictions must have one row per text and miss none; a text with several or
+    without any fails the job that reads the result, in which this is checked as rows pass, so predictions are worked out once."""
+    keyed = predictions.groupBy(text_key(text_col).alias("__k")).agg(F.count("*").alias("__n"), F.first(F.struct(*columns)).alias("__p"))
+    rows = raw.withColumn("__k", text_key(text_col)).drop(*columns).join(keyed, "__k", "left")
+    one = F.when(F.col("__n").isNull(), F.raise_error(F.lit("a row has no prediction of its text"))).when(F.col("__n") > 1, F.raise_error(F.lit("a text has several predictions"))).otherwise(F.col("__p"))
+    return rows.withColumn("__p", one).select(*[c for c in raw.columns if c not in columns], *[F.col(f"__p.{c}").alias(c) for c in columns])
 
 
 def completeness(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

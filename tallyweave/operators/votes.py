@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.scores import ratio
-from tallyweave.operators.relations import dedup_last
-from tallyweave.session import cut_lineage
+from tallyweave.operators.relations import dedup_last, pick
+from tallyweave.session import written
 
 #: The four answers an annotator may give, and their numbers.
 LABELS = {"religious": 1, "nonreligious": 0, "ambiguous_review": None, "insufficient_information": None}
@@ -135,42 +139,65 @@ def set_hash(df: DataFrame, id_col: str, by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(id_col).cast("string"))), "\n"), 256).alias("set_hash"), F.count_distinct(id_col).alias("n_ids"))
 
 
-def dawid_skene(votes: DataFrame, id_col: str, source_col: str, label_col: str, rounds: int = 30, tolerance: float = 1e-5) -> DataFrame:
+def dawid_skene(votes: DataFrame, id_col: str, source_col: str, label_col: str, rounds: int = 100, tolerance: float = 1e-5) -> DataFrame:
     """Per record the posterior of label 1 by the two-class model with one confusion matrix per source.
 
-    ``votes`` must be one row per record and source. Expectation: one aggregation per record over
-    votes joined with the sources' rates; maximisation: one aggregation per source, whose few rows are
-    all that reaches the driver. Fewer than two records or sources raise an error.
+    ``votes`` must be one row per record and source. Records with the same votes are one pattern with a count; a round is one pass over the patterns,
+    without a shuffle, and four sums per source and task are all that leaves the executors. Rounds end when no rate moves by the
+    tolerance; a fit that has not settled by the last one is reported by a warning. Fewer than two records or sources raise an error.
     """
-    v = cut_lineage(votes.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.col(label_col).cast("double").alias("v")))
-    shape = v.agg(F.count_distinct("i"), F.count_distinct("s")).first()
-    if shape[0] < 2 or shape[1] < 2:
+    v = votes.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.col(label_col).cast("int").alias("v"))
+    names = sources(v, "s")
+    number = F.create_map(*[F.lit(x) for kv in enumerate(names) for x in kv[::-1]]) if names else F.lit(None)
+    arrays = F.sort_array(F.collect_list(number[F.col("s")] * 2 + F.col("v"))).alias("code") if names else F.array().cast("array<int>").alias("code")
+    items = written(v.groupBy("i").agg(arrays), "votes-patterns")
+    if len(names) < 2 or items.limit(2).count() < 2:
         raise ValueError("at least two records and two sources are needed")
-    post = v.groupBy("i").agg(F.avg("v").alias("r"))
-    old: dict[str, tuple[float, float]] = {}
-    rates: dict[str, tuple[float, float]] = {}
-    prior = 0.5
-    for _ in range(rounds):
-        j = v.join(post, "i")
-        got = j.groupBy("s").agg(F.sum(F.col("r") * F.col("v")).alias("a"), F.sum("r").alias("b"), F.sum((1 - F.col("r")) * F.col("v")).alias("c"), F.sum(1 - F.col("r")).alias("d")).collect()
-        rates = {r["s"]: ((r["a"] + 0.01) / (r["b"] + 0.02), (r["c"] + 0.01) / (r["d"] + 0.02)) for r in got}
-        prior = min(max(post.agg(F.avg("r")).first()[0], 1e-6), 1 - 1e-6)
-        moved = max((abs(x - y) for s in rates for x, y in zip(rates[s], old.get(s, (9, 9)), strict=True)), default=0)
-        old = rates
-        table = v.sparkSession.createDataFrame([(s, a, b) for s, (a, b) in rates.items()], "s string, tpr double, fpr double")
-        yes = F.log(F.col("tpr") / F.col("fpr"))
-        no = F.log((1 - F.col("tpr")) / (1 - F.col("fpr")))
-        from math import log
-
-        odds = F.sum(F.when(F.col("v") == 1, yes).otherwise(no)) + F.lit(log(prior / (1 - prior)))
-        post = v.join(F.broadcast(table), "s").groupBy("i").agg(odds.alias("o")).select("i", (1 / (1 + F.exp(-F.col("o")))).alias("r"))
-        post = cut_lineage(post)
+    patterns = written(items.groupBy("code").agg(F.count("*").alias("n")), "votes-counts")
+    tpr, fpr, prior = None, None, 0.5
+    for k in range(rounds):
+        got = np.sum([np.frombuffer(r["sums"]) for r in patterns.mapInArrow(_expect(len(names), tpr, fpr, prior), "sums binary").collect()], axis=0).reshape(-1, 4)
+        a, b, c, d = got[:-1].T
+        new = (a + 0.01) / (b + 0.02), (c + 0.01) / (d + 0.02)
+        moved = 9.0 if tpr is None else float(max(np.abs(new[0] - tpr).max(), np.abs(new[1] - fpr).max()))
+        (tpr, fpr), prior = new, float(min(max(got[-1, 0] / got[-1, 1], 1e-6), 1 - 1e-6))
         if moved < tolerance:
             break
+    else:
+        warnings.warn(f"not settled after {rounds} rounds: a rate still moves by {moved:.1e}", stacklevel=2)
+    both = F.array(*[F.lit(float(x)) for s in zip(np.log1p(-tpr) - np.log1p(-fpr), np.log(tpr) - np.log(fpr), strict=True) for x in s])
+    odds = F.aggregate("code", F.lit(math.log(prior / (1 - prior))), lambda o, x: o + F.get(both, x))
+    post = items.select("i", (1 / (1 + F.exp(-odds))).alias("r"))
     counts = votes.groupBy(F.col(id_col).alias("i")).agg(F.count_if(F.col(label_col).isin(0, 1)).alias("num_votes"), F.count_if(F.col(label_col).isNull()).alias("num_abstain"))
     return counts.join(post, "i", "left").select(F.col("i").alias(id_col), F.when(F.col("r") > 0.5, 1).when(F.col("r") < 0.5, 0).alias("label"), F.greatest("r", 1 - F.col("r")).alias("confidence"), F.col("r").alias("posterior"), "num_votes", "num_abstain")
 
 
+def _expect(n_sources: int, tpr, fpr, prior: float):
+    """Sums over patterns given the rates (the share of positive votes without any): per source votes and records weighted by both classes; last the
+    mass of class 1 and the number of records."""
+
+    def run(batches):
+        out = np.zeros((n_sources + 1, 4))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, ends = batch.column("code").flatten().to_numpy(), batch.column("code").offsets.to_numpy()
+            n, starts = batch.column("n").to_numpy().astype(float), ends[:-1] - ends[0]
+            at, source, said = np.repeat(np.arange(len(n)), np.diff(ends)), code >> 1, (code & 1).astype(float)
+            if tpr is None:
+                r = np.add.reduceat(said, starts) / np.diff(ends)
+            else:
+                each = np.where(said > 0, np.log(tpr[source] / fpr[source]), np.log((1 - tpr[source]) / (1 - fpr[source])))
+                r = 1 / (1 + np.exp(-np.clip(np.add.reduceat(each, starts) + math.log(prior / (1 - prior)), -700, 700)))
+            w, q = n[at], r[at]
+            for k, x in enumerate((q * said, q, (1 - q) * said, 1 - q)):
+                out[:-1, k] += np.bincount(source, w * x, n_sources)
+            out[-1, :2] += (n * r).sum(), n.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+    return run
+
+
 def crowdlab(votes: DataFrame, predictions: DataFrame, id_col: str, source_col: str, label_col: str, p_col: str) -> DataFrame:
     """Per record the classifier's probability and its votes, weighted by how well each predicts the others' majority.
 
@@ -240,8 +267,7 @@ def vote_arms(votes: DataFrame, truth: DataFrame, id_col: str, source_col: str,
 
 def first_match(audit: DataFrame, key_col: str, time_col: str, *ties: str) -> DataFrame:
     """The earliest audit row per set hash: the baseline a later run is compared with."""
-    w = Window.partitionBy(key_col).orderBy(F.col(time_col).asc_nulls_last(), *[F.col(t) for t in ties])
-    return audit.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    return pick(audit, [key_col], [F.col(time_col).isNull(), F.col(time_col), *[F.col(t) for t in ties]])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

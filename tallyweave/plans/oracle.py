@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from tallyweave.functions import lexicon as L
 from tallyweave.operators.keyness import STOPWORDS
-from tallyweave.plans.queries import SOURCES
+from tallyweave.plans.queries import GREEDY
+
+#: The sources of the store in these tables. The query takes its sources from the data, so another one would show as a difference.
+SOURCES = [f"{m}__{p}" for m in ("aspen-large", "birch-mini", "cedar-27b", "dogwood-nano") for p in ("v1", "v2", "v3")] + ["elder-flash__v1", "elder-flash__v2", "lexicon-rule__r4"]
 
 W = r"\p{L}\p{N}_"
 BLANK = r"[\s\p{Z}\x0b\x{85}]"
@@ -41,7 +44,7 @@ def letter(c: str) -> str:
     return f"case when regexp_matches(upper(substr(trim({c}), 1, 1)), '^[A-Z]$') then upper(substr(trim({c}), 1, 1)) else '?' end"
 
 
-REL, STRONG, VERBS, BEN, ACT = (L.terms(x) for x in (L.RELIGIOUS, L.STRONG, L.VERBS, L.BENEFICIARIES, L.ACTIVITIES))
+REL, STRONG, VERBS, BEN, ACT = (L.RELIGIOUS, L.STRONG, L.VERBS, L.BENEFICIARIES, L.ACTIVITIES)
 
 
 def quality(c: str) -> dict[str, str]:
@@ -165,7 +168,12 @@ def cased(c: str) -> str:
     return f"array_to_string(list_transform(string_split({c}, ' '), lambda w: case when upper(w) in ({keep}) then upper(w) else upper(substr(w, 1, 1)) || lower(substr(w, 2)) end), ' ')"
 
 
-_BARE = f"regexp_replace(regexp_replace({_NAME}, '([{BLANK[1:-1]},]+({_SUF})[.]?)+$', '', 'i'), '^[ ,.;:]+|[ ,.;:]+$', '', 'g')"
+def bare(suffixes: str) -> str:
+    return f"regexp_replace(regexp_replace({_NAME}, '([{BLANK[1:-1]},]+({suffixes})[.]?)+$', '', 'i'), '^[ ,.;:]+|[ ,.;:]+$', '', 'g')"
+
+
+_BARE = bare(_SUF)
+_GREEDY = bare("|".join(s.replace(".", "[.]") for s in sorted((*L.SUFFIXES, *GREEDY), key=len, reverse=True)))
 NAMED = f"""named as (select *, {cased('bare')} as name_cleaned, {cased('flat')} as name_with_suffix, coalesce(starts_with(upper(trim(NTEE_IRS)), 'X'), false) as x, coalesce(try_cast(trim(BMF_FOUNDATION_CODE) as double) = 10, false) as c
   from (select *, {_NAME} as flat, {_BARE} as bare from registry)), stra as (select *, case when x and c then 'both_external_flags' when x then 'ntee_x_only' when c then 'church_foundation_only' else 'neither_external_flag' end as stratum from named)"""
 
@@ -190,7 +198,7 @@ def oracle_sql() -> dict[str, str]:
         "rule_label_route": f"with {SAMPLE}, x as (select tier, {ROUTE} as source from sam) select tier, source, case source when 'rule_strong_positive' then 1 when 'rule_short_negative' then 0 end as label, count(*) as n from x group by all",
         "rule_labels": f"with {SAMPLE} select sample_id, {rule('mission_text')} as label from sam",
         "lexicon_hits": f"select sample_id, {hit('mission_text', REL)} as religious, {hit('mission_text', STRONG)} as strong, {hit('mission_text', VERBS)} as verb from mission_sample",
-        "positive_rescue": f"with s as (select sample_id, mission_text, {Q['q']} as q from mission_sample) select sample_id, q from s where q >= 4.5 and q < 5 and {hit('mission_text', STRONG)} and {hit('mission_text', VERBS)}",
+        "positive_rescue": f"with s as (select sample_id, mission_text, {Q['q']} as q from (select sample_id, mission_text from mission_sample union all values (-1, 'We provide church meals for children weekly'), (-2, 'We provide warm meals for children weekly'), (-3, 'We provide church meals for children weekly and monthly'))) select sample_id, q from s where q >= 4.5 and q < 5 and {hit('mission_text', STRONG)} and {hit('mission_text', VERBS)}",
         "boundary_classes": f"select {boundary('mission_text')} as boundary, count(*) as n from mission_sample group by 1",
         "length_bins": f"with x as (select {n_words('mission_text')} as k from mission_sample) select case when k <= 10 then '0-10' when k <= 25 then '11-25' when k <= 50 then '26-50' else '51+' end as length_bin, count(*) as n from x group by 1",
         "scope_filter": "select data_source, COMMON_LEVEL1, count(*) as n from mission_frame where trim(COMMON_LEVEL1) in ('501C3 CHARITY', '501C3 PRIVATE FOUNDATION') and trim(LONGEST_MISSION) <> '' group by 1, 2",
@@ -211,7 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "majority_vote": f"with {VOTES}, {MAJ} select EIN2, label, round(confidence, 6) as confidence, num_votes, num_abstain, round(agreement, 6) as agreement, tie from majority",
         "vote_share": f"with {VOTES} select EIN2, round(avg(label::double), 6) as p_pos, count(*) as n_votes from votes where label in (0, 1) group by 1",
         "label_matrix": f"with {VOTES} select EIN2, {', '.join(f'''max(label) filter (where source_id = '{s}') as "{s}"''' for s in SOURCES)} from votes group by 1",
-        "label_stack": f"with {VOTES} select source_id, count(*) as n, sum(label)::bigint as n_positive from votes where label is not null and source_id in ({', '.join(repr(s) for s in SOURCES)}) group by 1",
+        "label_stack": f"with {VOTES} select source_id, count(*) as n, sum(label)::bigint as n_positive from votes where label is not null group by 1",
         "consensus_agreement": f"with {VOTES}, {MAJ} select v.EIN2, round(avg((v.label = m.label)::int::double), 6) as agreement from votes v join majority m on m.EIN2 = v.EIN2 where v.label is not null group by 1",
         "pairwise_agreement": f"with {VOTES} select a.source_id as source_a, b.source_id as source_b, count(*) as n_common, round(avg((a.label = b.label)::int::double), 6) as agreement from votes a join votes b on a.EIN2 = b.EIN2 and a.source_id < b.source_id where a.label is not null and b.label is not null group by 1, 2",
         "source_summary": f"with {VOTES} select source_id, count(*) as n_rows, count(*) filter (where label is null) as n_abstain, round(count(*) filter (where label is null) / count(*), 6) as abstain_rate, round(avg(label::double), 6) as positive_rate from votes group by 1",
@@ -273,7 +281,7 @@ def oracle_sql() -> dict[str, str]:
         "registry_flags": f"with {NAMED} select stratum, x or c as is_flagged, count(*) as n from stra group by 1, 2",
         "clean_names": f"with {NAMED} select EIN2, name_cleaned, name_with_suffix from named where name_cleaned <> ''",
         "name_variants": f"with {NAMED}, v as (select 'suffix_stripped' as input_variant, name_cleaned as text from named where name_cleaned <> '' union all select 'suffix_retaining', name_with_suffix from named where name_cleaned <> '') select input_variant, count(*) as n, sum(length(text))::bigint as n_chars from v group by 1",
-        "name_token_loss": f"with {NAMED}, l as (select EIN2, list_filter({lex_tokens('ORG_NAME_CURRENT', REL)}, lambda x: not list_contains({lex_tokens('name_cleaned', REL)}, x)) as lost from named where name_cleaned <> '') select EIN2, array_to_string(lost, ',') as lost from l where len(lost) > 0",
+        "name_token_loss": f"with named as (select *, {cased('bare')} as name_cleaned from (select *, {_GREEDY} as bare from registry)), l as (select EIN2, list_filter({lex_tokens('ORG_NAME_CURRENT', REL)}, lambda x: not list_contains({lex_tokens('name_cleaned', REL)}, x)) as lost from named where name_cleaned <> '') select EIN2, array_to_string(lost, ',') as lost from l where len(lost) > 0",
         "name_token_difference": f"with {FRAME}, m as (select EIN2, min(mission_text) as mission from frame where mission_text is not null group by 1), x as (select r.EIN2, {lex_tokens('ORG_NAME_CURRENT', STRONG)} as a, {lex_tokens('mission', STRONG)} as b from registry r join m on m.EIN2 = r.EIN2), z as (select EIN2, list_filter(a, lambda x: not list_contains(b, x)) as a, list_filter(b, lambda x: not list_contains(a, x)) as b from x) select EIN2, array_to_string(a, ',') as a_only, array_to_string(b, ',') as b_only, case when len(a) > 0 and len(b) > 0 then 'both_names_add_token' when len(b) > 0 then 'second_name_adds_token' else 'first_name_adds_token' end as direction from z where len(a) > 0 or len(b) > 0",
         "name_conflicts": f"with {NAMED}, u as (" + " union all ".join(
             f"select '{k}' as cue from named where name_cleaned <> '' and {c}" for k, c in (

@@ -87,12 +87,14 @@ def rule_labels(spark, d):
 @query
 def lexicon_hits(spark, d):
     x = views.sample(spark, d)
-    return x.select("sample_id", T.has_any("mission_text", L.terms(L.RELIGIOUS)).alias("religious"), T.has_any("mission_text", L.terms(L.STRONG)).alias("strong"), T.has_any("mission_text", L.terms(L.VERBS)).alias("verb"))
+    return x.select("sample_id", T.has_any("mission_text", L.RELIGIOUS).alias("religious"), T.has_any("mission_text", L.STRONG).alias("strong"), T.has_any("mission_text", L.VERBS).alias("verb"))
 
 
 @query
 def positive_rescue(spark, d):
-    x = views.sample(spark, d).withColumn("q", T.quality("mission_text")["q"])
+    """The sample, and three rows on both sides of the rule's edges, as the tables may hold no such text."""
+    edges = spark.createDataFrame([(-1, "We provide church meals for children weekly"), (-2, "We provide warm meals for children weekly"), (-3, "We provide church meals for children weekly and monthly")], "sample_id long, mission_text string")
+    x = views.sample(spark, d).select("sample_id", "mission_text").unionByName(edges).withColumn("q", T.quality("mission_text")["q"])
     return x.filter(T.positive_rescue("mission_text", "q")).select("sample_id", "q")
 
 
@@ -207,10 +209,6 @@ def vote_share(spark, d):
     return rounded(V.vote_share(views.votes(spark, d), "EIN2", "label"))
 
 
-#: The sources that the SQL twins of label_matrix and label_stack name. The queries take all sources of the store.
-SOURCES = [f"{m}__{p}" for m in ("aspen-large", "birch-mini", "cedar-27b", "dogwood-nano") for p in ("v1", "v2", "v3")]
-
-
 @query
 def label_matrix(spark, d):
     v = views.votes(spark, d)
@@ -487,13 +485,13 @@ def design_weights(spark, d):
 @query
 def silver_pool(spark, d):
     x = views.sample(spark, d)
-    return rounded(sampling.silver_pool(x, "sample_id", "grp", "tier", T.has_any("mission_text", L.terms(L.RELIGIOUS)), 300, floors={"X"}, floor_size=40, caps={"B"}, cap_size=60).select("sample_id", "grp", "is_positive_enriched", "inclusion_prob"))
+    return rounded(sampling.silver_pool(x, "sample_id", "grp", "tier", T.has_any("mission_text", L.RELIGIOUS), 300, floors={"X"}, floor_size=40, caps={"B"}, cap_size=60).select("sample_id", "grp", "is_positive_enriched", "inclusion_prob"))
 
 
 @query
 def gold_set(spark, d):
     x = views.sample(spark, d).filter("grp != '?'")
-    return rounded(sampling.gold_set(x, "sample_id", "grp", T.boundary_class("mission_text") != "none", T.has_any("mission_text", L.terms(L.RELIGIOUS)), 12).select("sample_id", "grp", "cell", "first_pass", "quota_cell_rate"))
+    return rounded(sampling.gold_set(x, "sample_id", "grp", T.boundary_class("mission_text") != "none", T.has_any("mission_text", L.RELIGIOUS), 12).select("sample_id", "grp", "cell", "first_pass", "quota_cell_rate"))
 
 
 @query
@@ -594,20 +592,20 @@ def keyness_terms(spark, d):
 
 @query
 def keyness_by_probability(spark, d):
-    x = views.sample(spark, d).withColumn("w", F.when(T.has_any("mission_text", L.terms(L.RELIGIOUS)), 0.75).otherwise(0.25))
+    x = views.sample(spark, d).withColumn("w", F.when(T.has_any("mission_text", L.RELIGIOUS), 0.75).otherwise(0.25))
     return rounded(keyness.keyness(keyness.term_counts(x, "mission_text", F.col("w")), min_df=5), 5)
 
 
 @query
 def top_terms(spark, d):
-    x = views.sample(spark, d).withColumn("w", F.when(T.has_any("mission_text", L.terms(L.RELIGIOUS)), 1.0).otherwise(0.0))
+    x = views.sample(spark, d).withColumn("w", F.when(T.has_any("mission_text", L.RELIGIOUS), 1.0).otherwise(0.0))
     k = rounded(keyness.keyness(keyness.term_counts(x, "mission_text", F.col("w")), min_df=5), 5)
     return keyness.top_terms(k).select("term", "side", "z_score")
 
 
 @query
 def top_absolute_terms(spark, d):
-    x = views.sample(spark, d).withColumn("w", F.when(T.has_any("mission_text", L.terms(L.RELIGIOUS)), 1.0).otherwise(0.0))
+    x = views.sample(spark, d).withColumn("w", F.when(T.has_any("mission_text", L.RELIGIOUS), 1.0).otherwise(0.0))
     k = rounded(keyness.keyness(keyness.term_counts(x, "mission_text", F.col("w")), min_df=5), 5)
     return keyness.top_absolute(k).select("term", "z_score")
 
@@ -636,6 +634,9 @@ def registry_flags(spark, d):
     return x.groupBy("stratum", "is_flagged").agg(F.count("*").alias("n"))
 
 
+GREEDY = ("ministries", "church", "temple", "fellowship")
+
+
 def _named(spark, d):
     return names.cleaned(names.external_flags(table(spark, d, "registry"), "NTEE_IRS", "BMF_FOUNDATION_CODE"), "ORG_NAME_CURRENT")
 
@@ -652,7 +653,9 @@ def name_variants(spark, d):
 
 @query
 def name_token_loss(spark, d):
-    return names.token_loss(_named(spark, d), "ORG_NAME_CURRENT", "name_cleaned").select("EIN2", F.array_join("lost_tokens", ",").alias("lost"))
+    """The audit of a cleaner that goes too far: it takes denominational words for legal suffixes."""
+    x = names.cleaned(table(spark, d, "registry"), "ORG_NAME_CURRENT", suffixes=(*L.SUFFIXES, *GREEDY))
+    return names.token_loss(x, "ORG_NAME_CURRENT", "name_cleaned").select("EIN2", F.array_join("lost_tokens", ",").alias("lost"))
 
 
 @query

@@ -37,7 +37,7 @@ class Calibrated:
 
 def build_sample(df: DataFrame, gold_per_group: int, silver_total: int) -> DataFrame:
     """``sample_id, pool, split``: gold rows with their human splits, then a silver pool from all other rows."""
-    religious = T.has_any("mission_text", L.terms(L.RELIGIOUS))
+    religious = T.has_any("mission_text", L.RELIGIOUS)
     frame = df.filter(F.col("grp").rlike("^[A-Z]$"))
     gold = cut_lineage(sampling.gold_set(frame, "sample_id", "grp", T.boundary_class("mission_text") != "none", religious, gold_per_group))
     rest = df.join(gold.select("sample_id"), "sample_id", "left_anti")
@@ -49,7 +49,7 @@ def build_sample(df: DataFrame, gold_per_group: int, silver_total: int) -> DataF
 def default_scorer(df: DataFrame) -> DataFrame:
     """A stand-in score for texts: the share of their words in the religious lexicon, smoothed. Any scorer with this shape fits."""
     words = T.tokens("mission_text")
-    known = sorted({w for t in L.terms(L.RELIGIOUS) for w in t.split()})
+    known = sorted({w for t in L.RELIGIOUS for w in t.split()})
     hits = F.size(F.filter(words, lambda x: x.isin(known)))
     return df.withColumn("prob_raw", (hits + 0.1) / (F.size(words) + 1.0))
 

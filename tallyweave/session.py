@@ -43,15 +43,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 def qualified(spark: SparkSession, path: str) -> str:
     """A path with its scheme, resolved against Spark's default file system, so that all that read it see the same place."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    fs, at = _file(spark, path)
+    found = fs.makeQualified(at).toString()
     return "file://" + found[len("file:") :] if found.startswith("file:/") and not found.startswith("file://") else found
 
 
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, at = _file(spark, old)
+    if not fs.rename(at, _file(spark, new)[1]):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder with all it holds; one that is not there is no error."""
+    fs, at = _file(spark, path)
+    fs.delete(at, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there; failures of the file system are raised."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    fs, at = _file(spark, path)
+    return fs.exists(at)
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

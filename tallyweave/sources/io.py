@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions.ids import nine_digits, standard_ein
 from tallyweave.functions.text import group_letter, truncation_flag
-from tallyweave.operators.relations import dedup_first, require
+from tallyweave.operators.relations import dedup_first, pick, require
+from tallyweave.session import delete, exists, rename, written
 
 STORE = (
     "EIN2 string, text string, source_id string, source_type string, label double, confidence double, model_id string, prompt_id string, temperature double, seed long, "
@@ -50,18 +53,74 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("EIN2", F.coalesce(standard_ein("EIN2"), F.trim("EIN2")))
 
 
-def append_store(df: DataFrame, path: str) -> None:
-    """Appends records; each task writes its own file, so a rerun task leaves no half rows."""
+def append_store(df: DataFrame, path: str, keys: tuple[str, ...] = ("EIN2", "source_id", "run_timestamp")) -> None:
+    """Appends the records whose key the store lacks, each key once, so that a delivery that is repeated adds nothing.
+
+    A record and source may have several runs; the latest counts when the store is read (see ``votes.latest_votes``).
+    """
     require(df, ["EIN2", "source_id"], "records")
-    full = df.sparkSession.createDataFrame([], STORE).unionByName(df, allowMissingColumns=True)
+    spark = df.sparkSession
+    full = spark.createDataFrame([], STORE).unionByName(df, allowMissingColumns=True)
+    full = pick(full, list(keys), [F.to_json(F.struct("*"))])
+    if exists(spark, path):
+        held = spark.read.parquet(path)
+        held = spark.createDataFrame([], STORE).unionByName(held, allowMissingColumns=True).select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+        same = reduce(lambda a, b: a & b, [full[k].eqNullSafe(held[f"__{k}"]) for k in keys])
+        full = full.join(held, same, "left_anti")
     full.write.mode("append").parquet(path)
 
 
+def replace_store(df: DataFrame, path: str) -> None:
+    """Puts df in place of the store. The new files are written beside it first and then renamed, so a failed write leaves the store as it was;
+    df may be read from the store itself."""
+    spark = df.sparkSession
+    require(df, ["EIN2", "source_id"], "records")
+    full = spark.createDataFrame([], STORE).unionByName(df, allowMissingColumns=True)
+    new, old = (f"{path.rstrip('/')}-{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    full.write.parquet(new)
+    there = exists(spark, path)
+    if there:
+        rename(spark, path, old)
+    rename(spark, new, path)
+    if there:
+        delete(spark, old)
+
+
 def write_shards(df: DataFrame, path: str, shard_col: str = "shard_id") -> None:
     """Rewrites only the shards in df; others stay. A resumed run overwrites its shards instead of doubling them."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard_col).parquet(path)
 
 
+STATE = "shard_id int, print string, n_rows long"
+
+
+def score_shards(rows: DataFrame, path: str, id_col: str, score, settings: str, shards: int, delete_stale: bool = True) -> DataFrame:
+    """Scores rows shard by shard into ``path`` and returns all scored rows; a run that goes on after a failure scores only what is missing.
+
+    A row's shard follows from its id. A shard is valid if the stored fingerprint of its rows and of ``settings`` (model, thresholds, versions) is what
+    it would be now; others are scored anew. Shards that no row belongs to are deleted, unless the run covers a part only. The state is
+    written after the shards, so a shard without its state is simply scored again. ``score`` takes and returns rows with all their columns.
+    """
+    spark = rows.sparkSession
+    data, state = f"{path}/data", f"{path}/state"
+    keyed = rows.withColumn("shard_id", F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).cast("int"))
+    row_hash = F.xxhash64(*[F.col(c).cast("string") for c in sorted(rows.columns)]).cast("decimal(38,0)")
+    now = keyed.groupBy("shard_id").agg(F.count("*").alias("n_rows"), F.sum(row_hash).alias("h"))
+    now = written(now.select("shard_id", F.sha2(F.concat_ws("|", F.lit(settings), F.col("h").cast("string"), F.col("n_rows")), 256).alias("print"), "n_rows"), "shard-prints")
+    known = written(spark.read.schema(STATE).parquet(state), "shard-state") if exists(spark, state) and exists(spark, data) else spark.createDataFrame([], STATE)
+    todo = now.join(known, ["shard_id", "print", "n_rows"], "left_anti")
+    # One row per shard.
+    pending = keyed.join(F.broadcast(todo.select("shard_id")), "shard_id", "left_semi")
+    if todo.limit(1).count():
+        write_shards(score(pending), data)
+    stale = [r["shard_id"] for r in known.join(now, "shard_id", "left_anti").select("shard_id").collect()] if delete_stale else []
+    for k in stale:
+        delete(spark, f"{data}/shard_id={k}")
+    kept = now if delete_stale else now.unionByName(known.join(now, "shard_id", "left_anti"))
+    written(kept, "shard-state").write.mode("overwrite").parquet(state)
+    return spark.read.parquet(data).join(F.broadcast(now.select("shard_id")), "shard_id", "left_semi").drop("shard_id")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
@@ -71,13 +130,10 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
 
 
 def coding_template(df: DataFrame, path: str, force: bool = False) -> None:
-    """A template with blank labels; one that already holds labels is not overwritten unless forced."""
+    """A template with blank labels; one that already holds labels is not overwritten unless forced.
+    A template that is there and can't be read is an error."""
     spark = df.sparkSession
-    try:
-        coded = read_csv(spark, path, TEMPLATE).filter("human_label is not null and trim(human_label) != ''").limit(1).count()
-    except Exception:  # noqa: BLE001  there is no template yet
-        coded = 0
-    if coded and not force:
+    if exists(spark, path) and not force and read_csv(spark, path, TEMPLATE).filter("human_label is not null and trim(human_label) != ''").limit(1).count():
         raise FileExistsError(f"{path} holds labels")
     write_csv(df.withColumn("human_label", F.lit(None).cast("string")), path, ["EIN2", "split", "text", "human_label"])
 

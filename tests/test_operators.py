@@ -86,10 +86,10 @@ def test_null_and_empty_text_are_two_keys(spark):
     raw = spark.createDataFrame([("1", None), ("2", ""), ("3", None)], "id string, t string")
     pred = spark.createDataFrame([(None, 1), ("", 0)], "t string, label int")
     assert rows(relations.expand_back(raw, pred, "t", "id", ["label"]), "id", "label") == [("1", 1), ("2", 0), ("3", 1)]
-    with pytest.raises(ValueError):
-        relations.expand_back(raw, pred.union(pred), "t", "id", ["label"])
-    with pytest.raises(ValueError):
-        relations.expand_back(raw, pred.limit(1), "t", "id", ["label"]).count()
+    with pytest.raises(Exception, match="several predictions"):
+        relations.expand_back(raw, pred.union(pred), "t", "id", ["label"]).collect()
+    with pytest.raises(Exception, match="no prediction"):
+        relations.expand_back(raw, pred.limit(1), "t", "id", ["label"]).collect()
     assert rows(relations.text_multiplicity(raw, "t"), "n_rows") == [(1,), (2,)]
     assert rows(relations.dedup_first(raw, "t", "id"), "id") == [("1",), ("2",)]
 
@@ -255,12 +255,60 @@ def test_store_round_trip(spark, tmp_path):
     assert rows(io.read_store(spark, path), "EIN2", "source_id") == [("EIN-00-3897281", "m__p"), ("EIN-12-3456789", "m__p")]
     with pytest.raises(ValueError):
         io.append_store(old.drop("source_id"), path)
+    io.append_store(old.union(old), path)  # a repeated delivery adds nothing
+    assert io.read_store(spark, path).count() == 2
+    io.replace_store(io.read_store(spark, path).filter("EIN2 = 'EIN-12-3456789'").withColumn("label", F.lit(0.0)), path)
+    assert rows(io.read_store(spark, path), "EIN2", "label") == [("EIN-12-3456789", 0.0)] and [p.name for p in tmp_path.iterdir()] == ["store"]
     shards = str(tmp_path / "shards")
     io.write_shards(spark.createDataFrame([(1, 0), (2, 1)], "v int, shard_id int"), shards)
     io.write_shards(spark.createDataFrame([(3, 1)], "v int, shard_id int"), shards)
     assert rows(spark.read.parquet(shards), "v") == [(1,), (3,)]
 
 
+def test_shards_resume(spark, tmp_path):
+    path = str(tmp_path / "run")
+    df = spark.createDataFrame([(str(i), f"text {i}") for i in range(60)], "id string, t string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(x):
+        def f(batches):
+            for b in batches:
+                seen.add(len(b))
+                yield b.assign(p=b["t"].str.len() / 10)
+
+        return x.mapInPandas(f, x.withColumn("p", F.lit(0.0)).schema)
+
+    def run(rows_, settings="v1", **kw):
+        before = seen.value
+        got = io.score_shards(rows_, path, "id", score, settings, 8, **kw)
+        return got.count(), seen.value - before
+
+    assert run(df) == (60, 60)
+    assert run(df) == (60, 0)  # nothing left to do
+    assert run(df.withColumn("t", F.when(F.col("id") == "7", "changed").otherwise(F.col("t"))))[1] == df.filter("pmod(xxhash64(id), 8) = (select pmod(xxhash64('7'), 8))").count()  # only its shard
+    assert run(df, "v2") == (60, 60)  # other settings, all anew
+    some = df.filter("pmod(xxhash64(id), 8) < 3")
+    assert run(some, "v2", delete_stale=False) == (some.count(), 0) and run(df, "v2") == (60, 0)  # a part leaves the rest alone
+    assert run(some, "v2") == (some.count(), 0) and run(df, "v2") == (60, 60 - some.count())  # a full run deletes stale shards
+    (tmp_path / "run" / "state").rename(tmp_path / "lost")
+    assert run(df, "v2") == (60, 60)  # shards without a state are scored again
+
+
+def test_running_totals_are_exact(spark):
+    rng = np.random.default_rng(5)
+    p, y = rng.random(3000).round(4), rng.integers(0, 2, 3000)
+    p[:900] = 0.5  # a hot score
+    df = spark.createDataFrame([(float(a), int(b), "ab"[i % 2] if i % 7 else None) for i, (a, b) in enumerate(zip(p, y))], "p double, y int, g string")
+    order = np.unique(p)[::-1]
+    got = {r["threshold"]: (r["tp"], r["fp"], r["fn"]) for r in metrics.pr_curve(df, "y", "p").collect()}
+    assert got == {t: (int(y[p >= t].sum()), int((1 - y)[p >= t].sum()), int(y[p < t].sum())) for t in order}
+    per = {r["g"]: r["roc_auc"] for r in metrics.roc_auc(df, "y", "p", ["g"]).collect()}
+    for g in ("a", "b", None):
+        rows_ = [(a, b) for i, (a, b) in enumerate(zip(p, y)) if ("ab"[i % 2] if i % 7 else None) == g]
+        pos, neg = np.array([a for a, b in rows_ if b]), np.array([a for a, b in rows_ if not b])
+        assert per[g] == pytest.approx(((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / len(pos) / len(neg))
+
+
 def test_template_is_not_overwritten(spark, tmp_path):
     path = str(tmp_path / "t")
     t = spark.createDataFrame([("a", "validation", 'say "hi",\nthere')], "EIN2 string, split string, text string")
@@ -271,6 +319,12 @@ def test_template_is_not_overwritten(spark, tmp_path):
     io.write_csv(spark.createDataFrame(coded.collect(), coded.schema), path)
     with pytest.raises(FileExistsError):
         io.coding_template(t, path)
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.csv.gz").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="(?i)gz"):
+        io.coding_template(t, str(broken))
+    assert [f.name for f in broken.iterdir()] == ["part-0.csv.gz"]
     assert rows(io.human_labels(io.read_csv(spark, path, io.TEMPLATE), "validation"), "label") == [(1,)]
     with pytest.raises(PermissionError):
         io.human_labels(coded, "test")
@@ -301,7 +355,8 @@ def test_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     one = spark.createDataFrame([("a", "s", 1.0)], "EIN2 string, source_id string, label double").withColumn("run_timestamp", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     io.append_store(one, src)
-    io.append_store(one, src)
+    again = io.read_store(spark, src)
+    spark.createDataFrame(again.collect(), again.schema).write.mode("append").parquet(src)  # delivered twice
     store.start(store.votes(spark, src), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     store.audit(store.votes(spark, src), one.withColumn("label", F.col("label").cast("int")), str(tmp_path / "audit"), str(tmp_path / "cp2")).awaitTermination(120)
