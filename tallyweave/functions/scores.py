@@ -19,7 +19,8 @@ def z_value(alpha: float = 0.05) -> float:
 
 
 def clip01(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    """x cut to [0, 1]; null stays null, which the least and greatest of values alone would not keep."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 def logit(p: Column | str) -> Column:

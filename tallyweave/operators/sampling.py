@@ -197,6 +197,42 @@ def bootstrap_ci(counts: tuple[int, int, int, int], metric, resamples: int = 200
     return tuple(float(v) for v in np.quantile(values, [(1 - level) / 2, (1 + level) / 2]))
 
 
+def bootstrap_scores(rows, metric, resamples: int = 2000, seed: int = 42, level: float = 0.95) -> tuple[float, float]:
+    """Percentile interval of a metric of scored labels, from their counts: rows with ``p, y, n`` (see ``calibrate.score_table``, which bounds their number).
+
+    Resampling rows is a multinomial draw of the counts, so nothing but counts is needed. metric(p, y, n) gets arrays in descending order of p.
+    """
+    import numpy as np
+
+    rows = sorted(rows, key=lambda r: (-r["p"], r["y"]))
+    p, y, n = (np.array([r[c] for r in rows], float) for c in ("p", "y", "n"))
+    if not len(rows):
+        return (float("nan"), float("nan"))
+    rng = np.random.default_rng(seed)
+    values = np.array([metric(p, y, rng.multinomial(int(n.sum()), n / n.sum()).astype(float)) for _ in range(resamples)], float)
+    return tuple(float(v) for v in np.quantile(values[~np.isnan(values)], [(1 - level) / 2, (1 + level) / 2])) if not np.isnan(values).all() else (float("nan"), float("nan"))
+
+
+def counted_average_precision(p, y, n) -> float:
+    """Average precision of scores in descending order with their counts; equal scores are one step. NaN without positives."""
+    import numpy as np
+
+    _, at = np.unique(-p, return_inverse=True)
+    pos, every = np.bincount(at, n * y), np.bincount(at, n)
+    tp, seen = np.cumsum(pos), np.cumsum(every)
+    return float((pos * np.divide(tp, seen, out=np.zeros_like(tp), where=seen > 0)).sum() / tp[-1]) if tp[-1] else float("nan")
+
+
+def stratified_by_group(df: DataFrame, group_col: str, id_col: str, n: int, seed: int = 43) -> DataFrame:
+    """n rows in equal parts per group: the remainder goes to the first groups in order, and no group gives more than it has."""
+    groups = sorted(_counts(df.filter(F.col(group_col).isNotNull()), [group_col]))
+    if not groups:
+        return df.withColumn("inclusion_prob", F.lit(None).cast("double")).limit(0)
+    each, extra = divmod(n, len(groups))
+    quota = df.sparkSession.createDataFrame([(g, each + int(k < extra)) for k, g in enumerate(groups)], f"{group_col} string, n int")
+    return take(df, [group_col], id_col, quota, seed)
+
+
 def quota_draw(cells: dict[tuple[str, frozenset], int], quotas: dict[str, int], at_least: dict[str, int]) -> dict[tuple[str, frozenset], int]:
     """Rows per (stratum, cues) cell so that each stratum has its quota and each cue at least its number of rows.
 

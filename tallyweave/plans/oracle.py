@@ -99,7 +99,7 @@ SCORED = f"""{VOTES}, grps as (select {std()} as EIN2, {letter('NTEE_IRS')} as g
 shares as (select EIN2, round(avg(label::double), 6) as p from votes where source_type = 'llm_prompt' and label is not null group by 1),
 scored as (select s.EIN2, p, coalesce(grp, '?') as grp from shares s left join grps g on g.EIN2 = s.EIN2)"""
 EVAL = f"""{SCORED}, truth as (select EIN2, max(label) as y from votes where source_type = 'rule' and label is not null group by 1),
-ev as (select s.EIN2, y, p, (p >= 0.5)::int as pred, grp, (y + 1) / 4 as sample_prob, 1 / ((y + 1) / 4) as w from scored s join truth t on t.EIN2 = s.EIN2)"""
+ev as (select s.EIN2, y, p, (p >= 0.5)::int as pred, grp, ({pri(3, 's.EIN2')} % 3 + 1) / 4 as sample_prob, 1 / (({pri(3, 's.EIN2')} % 3 + 1) / 4) as w from scored s join truth t on t.EIN2 = s.EIN2)"""
 SAMPLE = f"""sam as (select sample_id, case when {nine()} is not null then {std()} end as EIN2, mission_text, {letter('ntee_major_group')} as grp, coalesce(nullif(upper(trim(tier)), ''), 'UNKNOWN') as tier,
   Q, split, data_source, ({pri(5, 'sample_id')} % 1000) / 1000 as p from mission_sample)"""
 TEXTS = f"texts as (select {std()} as EIN2, LONGEST_MISSION as t from mission_frame where {nine()} is not null union all select {std()}, mission_text from mission_sample where {nine()} is not null)"
@@ -305,4 +305,6 @@ def oracle_sql() -> dict[str, str]:
         "prevalence_decomposition": f"with {SAMPLE}, x as (select tier, {rule('mission_text')} as v from sam), o as (select tier, count(*)::double as n, avg(v::double) as o from x where v is not null group by 1) select tier, n, round(o, 6) as estimate, round(n / sum(n) over (), 6) as share, round(n / sum(n) over () * o, 6) as contribution from o",
         "stage_gates": f"with {EVAL}, {SAMPLE} select 'train_anchor_disjoint' as gate, (select count(*) from (select EIN2 from sam where split = 'train' and EIN2 is not null intersect select EIN2 from sam where split = 'anchor')) as problems union all select 'sample_id_unique', (select count(*) from (select sample_id from sam group by 1 having count(*) > 1)) union all select 'tiers_known', (select count(*) from sam where tier not in ('HIGH', 'MEDIUM', 'LOW')) union all select 'votes_in_range', (select count(*) from votes where confidence < 0 or confidence > 1) union all select 'labels_binary', (select count(*) from ev where y not in (0, 1))",
     }
-    return shard
+    from tallyweave.plans.more_oracle import more_sql
+
+    return shard | more_sql()

@@ -13,7 +13,7 @@ from tallyweave.functions import text as T
 from tallyweave.functions.ids import standard_ein
 from tallyweave.operators import calibrate, keyness, metrics, ml, names, prevalence, relations, sampling
 from tallyweave.operators import votes as V
-from tallyweave.plans import stages, views
+from tallyweave.plans import gating, stages, views
 from tallyweave.session import cut_lineage, table
 from tallyweave.sources import io
 
@@ -110,7 +110,7 @@ def length_bins(spark, d):
 
 @query
 def scope_filter(spark, d):
-    x = table(spark, d, "mission_frame").filter(F.trim("COMMON_LEVEL1").isin("501C3 CHARITY", "501C3 PRIVATE FOUNDATION") & (F.trim("LONGEST_MISSION") != ""))
+    x = gating.in_scope(table(spark, d, "mission_frame"), "COMMON_LEVEL1", ["501C3 CHARITY", "501C3 PRIVATE FOUNDATION"]).filter(F.trim("LONGEST_MISSION") != "")
     return x.groupBy("data_source", "COMMON_LEVEL1").agg(F.count("*").alias("n"))
 
 
@@ -782,11 +782,9 @@ def stage_prevalence(spark, d):
 
 @query
 def training_frame(spark, d):
-    v = views.votes(spark, d)
-    t = _texts(spark, d).filter("trim(t) != ''").groupBy("EIN2").agg(F.min("t").alias("text"))
-    held = views.sample(spark, d).filter("split != 'train' and EIN2 is not null")
-    x = stages.training_frame(v, V.majority_vote(v, "EIN2", "label", "confidence"), t, held)
-    return rounded(x.select("EIN2", F.md5("text").alias("text_md5"), "p_pos", "hard_label"))
+    from tallyweave.plans.more_queries import _frame
+
+    return rounded(_frame(spark, d).select("EIN2", F.md5("text").alias("text_md5"), "p_pos", "hard_label"))
 
 
 @query
@@ -800,7 +798,7 @@ def annotator_slate(spark, d):
 
 @query
 def high_confidence(spark, d):
-    x = views.scored(spark, d).filter((F.col("p") <= 0.2) | (F.col("p") >= 0.8))
+    x = gating.confident(views.scored(spark, d), "p")
     return x.groupBy("grp").agg(F.count("*").alias("n"), r(F.avg("p")).alias("mean_p"))
 
 
@@ -833,4 +831,6 @@ def run_manifest(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from tallyweave.plans import more_queries  # noqa: F401  adds its queries
+
     return dict(QUERIES)

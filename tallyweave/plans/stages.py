@@ -14,7 +14,6 @@ from tallyweave.functions import text as T
 from tallyweave.functions.scores import platt, temperature
 from tallyweave.operators import metrics, prevalence, sampling
 from tallyweave.operators.relations import dedup_first, expand_back
-from tallyweave.operators.votes import vote_share
 from tallyweave.session import cut_lineage
 
 
@@ -82,13 +81,6 @@ def evaluation_report(df: DataFrame) -> DataFrame:
     return out.select("section", "metric", "value")
 
 
-def training_frame(votes: DataFrame, consensus: DataFrame, texts: DataFrame, held_out: DataFrame) -> DataFrame:
-    """``EIN2, text, p_pos, hard_label``: records with a consensus label, their vote share and text, without any held-out record."""
-    share = vote_share(votes, "EIN2", "label").select("EIN2", "p_pos")
-    kept = consensus.filter("label is not null").select("EIN2", F.col("label").alias("hard_label")).join(held_out.select("EIN2").distinct(), "EIN2", "left_anti")
-    return kept.join(share, "EIN2").join(texts.select("EIN2", "text"), "EIN2").select("EIN2", "text", "p_pos", "hard_label")
-
-
 def low_estimate(anchor: DataFrame, routed: DataFrame, rules: DataFrame, se: float | None, n_se: float, sp: float | None, n_sp: float) -> DataFrame:
     """The share in the LOW tier: rows routed to the classifier by the prediction-powered mean, rule rows by their corrected share,
     put together by their numbers of rows; one row per part and one for the whole."""

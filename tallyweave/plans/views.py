@@ -37,12 +37,13 @@ def groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """``EIN2, y, p, pred, grp, sample_prob``: the rule's label as truth, the share of positive model votes as score."""
+    """``EIN2, y, p, pred, grp, sample_prob``: the rule's label as truth, the share of positive model votes as score; the
+    inclusion probability is 1/4, 1/2 or 3/4 by a hash of the id, whatever the label."""
     v = votes(spark, d)
     p = v.filter("source_type = 'llm_prompt' and label is not null").groupBy("EIN2").agg(F.round(F.avg(F.col("label").cast("double")), 6).alias("p"))
     y = v.filter("source_type = 'rule' and label is not null").groupBy("EIN2").agg(F.max("label").alias("y"))
     j = p.join(y, "EIN2").join(groups(spark, d), "EIN2", "left").withColumn("grp", F.coalesce("grp", F.lit("?")))
-    return j.withColumn("pred", (F.col("p") >= 0.5).cast("int")).withColumn("sample_prob", (F.col("y") + 1) / 4)
+    return j.withColumn("pred", (F.col("p") >= 0.5).cast("int")).withColumn("sample_prob", (priority(3, F.col("EIN2")) % 3 + 1) / 4)
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
