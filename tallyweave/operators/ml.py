@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import ngrams, tokens
+from tallyweave.session import cut_lineage
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -43,17 +45,47 @@ def with_terms(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__words", ngrams(tokens(text), 1, 2)).withColumn("__chars", char_grams(text))
 
 
+class SmoothIdf(Estimator):
+    """Term frequencies times ln((1 + n) / (1 + df)) + 1, each row brought to length 1."""
+
+    def __init__(self, inputCol: str, outputCol: str):
+        super().__init__()
+        self.inputCol, self.outputCol = inputCol, outputCol
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        idf = IDF(inputCol=self.inputCol, outputCol="__idf").fit(df).idf.toArray() + 1.0
+        weighted = f"{self.outputCol}_raw"
+        return PipelineModel([ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=self.inputCol, outputCol=weighted), Normalizer(p=2.0, inputCol=weighted, outputCol=self.outputCol)])
+
+
+def penalty(total_weight: float, c: float = 1.0) -> float:
+    """Spark's penalty for the inverse strength c: Spark averages the loss over the rows' weights, others sum it."""
+    return 1.0 / (c * max(1.0, total_weight))
+
+
 def tfidf_pipeline(label: str, weight: str = "class_weight", features: int = 1 << 18, max_iter: int = 2000, reg: float = 1e-4) -> Pipeline:
+    """Word and character TF-IDF, each of length 1, and logistic regression on unscaled features."""
     stages = []
     for c in ("words", "chars"):
-        stages += [HashingTF(inputCol=f"__{c}", outputCol=f"__tf_{c}", numFeatures=features), IDF(inputCol=f"__tf_{c}", outputCol=f"__x_{c}", minDocFreq=2)]
-    stages += [VectorAssembler(inputCols=["__x_words", "__x_chars"], outputCol="features"), LogisticRegression(labelCol=label, weightCol=weight, maxIter=max_iter, regParam=reg)]
+        stages += [HashingTF(inputCol=f"__{c}", outputCol=f"__tf_{c}", numFeatures=features), SmoothIdf(f"__tf_{c}", f"__x_{c}")]
+    # Hash buckets that no training row uses would only lengthen every gradient.
+    stages += [VectorAssembler(inputCols=["__x_words", "__x_chars"], outputCol="__all"), VarianceThresholdSelector(featuresCol="__all", outputCol="features", varianceThreshold=0.0), LogisticRegression(labelCol=label, weightCol=weight, maxIter=max_iter, regParam=reg, standardization=False)]
     return Pipeline(stages=stages)
 
 
-def fit_tfidf(df: DataFrame, text: str, label: str, **kw) -> PipelineModel:
-    """Word and character TF-IDF with balanced logistic regression."""
-    return tfidf_pipeline(label, **kw).fit(with_terms(class_weights(df, label), text))
+def fit_tfidf(df: DataFrame, text: str, label: str, c: float = 1.0, **kw) -> PipelineModel:
+    """Word and character TF-IDF with balanced logistic regression of inverse penalty c."""
+    weighted = class_weights(df, label)
+    total = weighted.agg(F.sum("class_weight")).first()[0] or 1.0
+    return fit_stages(tfidf_pipeline(label, reg=penalty(total, c), **kw), with_terms(weighted, text), label, "class_weight")
+
+
+def fit_stages(pipeline: Pipeline, df: DataFrame, label: str, weight: str) -> PipelineModel:
+    """Fits a pipeline whose last stage is the classifier. The features are written out before it, as each of its iterations would work them out anew."""
+    *front, last = pipeline.getStages()
+    made = Pipeline(stages=front).fit(df)
+    x = cut_lineage(made.transform(df).select("features", label, weight))
+    return PipelineModel([*made.stages, last.fit(x)])
 
 
 def score_tfidf(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
@@ -61,9 +93,11 @@ def score_tfidf(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("prob_raw", vector_to_array("probability")[1]).select(*df.columns, "prob_raw")
 
 
-def fit_embedding(df: DataFrame, vector: str, label: str, reg: float = 1e-3):
-    x = class_weights(df, label).withColumn("features", array_to_vector(F.transform(vector, lambda v: v.cast("double"))))
-    return LogisticRegression(labelCol=label, weightCol="class_weight", regParam=reg, maxIter=100).fit(x)
+def fit_embedding(df: DataFrame, vector: str, label: str, c: float = 1.0):
+    weighted = class_weights(df, label)
+    total = weighted.agg(F.sum("class_weight")).first()[0] or 1.0
+    x = weighted.withColumn("features", array_to_vector(F.transform(vector, lambda v: v.cast("double"))))
+    return LogisticRegression(labelCol=label, weightCol="class_weight", regParam=penalty(total, c), maxIter=2000, standardization=False).fit(cut_lineage(x.select("features", label, "class_weight")))
 
 
 def score_embedding(model, df: DataFrame, vector: str) -> DataFrame:

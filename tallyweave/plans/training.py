@@ -153,6 +153,7 @@ def train_text_model(frame: DataFrame, run: Run, scores: DataFrame | None = None
     if run.fraction < 1:
         train = sampling.nested_subset(train, "hard_label", "EIN2", run.fraction, run.seed)
     rows = arm(train, run.arm, scores)
-    model = ml.tfidf_pipeline("label", weight="weight", **kw).fit(ml.with_terms(rows, "text"))
+    total = rows.agg(F.sum("weight")).first()[0] or 1.0
+    model = ml.fit_stages(ml.tfidf_pipeline("label", weight="weight", reg=ml.penalty(total), **kw), ml.with_terms(rows, "text"), "label", "weight")
     got = ml.score_tfidf(model, split.filter("is_dev"), "text")
     return metrics.average_precision(got, "hard_label", "prob_raw").first()[0] or 0.0
