@@ -47,9 +47,18 @@ _APOSTROPHES = regex.compile(r"(?<=\p{L})['’](?=\p{L})")
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*|[\p{L}\p{M}\p{N}]+")
 
 
+#: For ASCII texts: everything but letters and digits is a blank.
+_BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
+
+
 def words(form: str | None) -> list[str]:
     """The words of a consistent form: without case, punctuation and blanks."""
-    return _WORD.findall(_APOSTROPHES.sub("", (form or "").casefold()))
+    if not form:
+        return []
+    text = form.casefold()
+    if "'" in text or "’" in text:
+        text = _APOSTROPHES.sub("", text)
+    return text.translate(_BLANKS).split() if text.isascii() else _WORD.findall(text)
 
 
 def allowed(longer: np.ndarray | int, share: int):

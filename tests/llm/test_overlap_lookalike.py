@@ -82,6 +82,15 @@ def test_overlaps_against_brute_force(spark):
     assert all(r["matched_words"] > 0 and r["spans"] >= 1 for r in got if r["by_text"])
 
 
+def test_words_of_ascii_texts_as_of_others():
+    rng = random.Random(8)
+    for _ in range(2000):
+        t = "".join(rng.choice("ab Z9_-.'’\n\t(é中ก") for _ in range(rng.randint(0, 12)))
+        want = overlap._WORD.findall(overlap._APOSTROPHES.sub("", t.casefold()))
+        assert overlap.words(t) == want, ascii(t)
+    assert overlap.words(None) == []
+
+
 def test_chains_bound_the_distance():
     rng = random.Random(7)
     docs = [[rng.randint(1, 6) for _ in range(rng.randint(1, 30))] for _ in range(400)]
