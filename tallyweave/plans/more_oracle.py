@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallyweave.functions import lexicon as L
 from tallyweave.plans import oracle as O
+from tallyweave.plans.naming import PROBES
 
 def ppi(name: str, anchor: str, corpus: str, by: str = "", w: str = "1.0::double", m: str = "multiplicity") -> str:
     """Tables ``{name}_e`` with e, v, n_anchor, big: the prediction-powered mean of a table of labelled and one of scored rows."""
@@ -99,9 +100,26 @@ select m.input_variant, n, n_positive, round(pearson, 6) as pearson, round(mae,
         "shard_scores": "select sample_id, length(coalesce(mission_text, ''))::int as score from mission_sample",
         "run_manifest": " union all ".join(f"select '{t}' as name, count(*) as n_rows, sha256('{{\"seed\": 42}}') as config_hash from {t}" for t in ("label_record", "mission_frame", "mission_sample", "registry")),
         "stage_prevalence": f"with {O.EVAL}, {ppi('u', '(select EIN2, y, p from ev)', 'scored', m='1')}, {ppi('q', '(select EIN2, y, p, w as dw from ev)', 'scored', w='dw', m='1')} select 'ppi' as estimator, n_anchor, big as n_corpus, {ends()} from u_e union all select 'ppi_weighted', n_anchor, big, {ends()} from q_e",
+        "gold_set": f"with {O.SAMPLE}, c as (select *, case when {O.boundary('mission_text')} <> 'none' then 'boundary' when {O.hit('mission_text', O.REL)} then 'positive' else 'negative' end as cell from sam where grp <> '?'), r as (select *, row_number() over (partition by grp, cell order by {O.pri(13, 'sample_id')}, sample_id) as rank, count(*) over (partition by grp, cell) as size, case cell when 'boundary' then 5 else 3 end as lim from c), f as (select *, rank <= lim as fp, least(lim, size) / size as rate, case when rank <= lim then '0:' else '1:' end || sample_id as k from r), o as (select *, row_number() over (partition by grp, fp order by {O.pri(14, 'k')}, k) as r2, count(*) filter (where fp) over (partition by grp) as have from f) select sample_id, grp, cell, fp as first_pass, round(rate, 6) as quota_cell_rate from o where fp or r2 <= 12 - have",
+        "keyness_sensitivity": _sensitivity(),
+        "name_probes": f"with x as (select *, {O._NAME} as flat, {O._BARE} as bare from (values {', '.join(f"('{a}', '{b}', '{t}', {'null' if g is None else g})" for a, b, t, g in PROBES)}) v(probe_id, category, ORG_NAME_CURRENT, pair_id)), c as (select *, {O.cased('bare')} as text_cleaned from x) select probe_id, category, pair_id::int as pair_id, ORG_NAME_CURRENT as text_raw, text_cleaned, round({share('text_cleaned')}, 6) as prob_raw, {O.rule('text_cleaned')} as lexicon_rule_label from c",
     }
 
 
+def evaluation_report(core: dict[str, str]) -> str:
+    """The sections of the evaluation report, one below the other, from the twins of its parts."""
+    long = lambda section, sql: f"select '{section}' as section, metric, value from (select columns(*)::double from ({sql})) unpivot include nulls (value for metric in (columns(*)))"
+    parts = {"metrics": core["metric_bundle"], "calibration": core["calibration_errors"], "threshold": f"select threshold, precision, recall, f1 from ({core['pick_threshold_floor']})"}
+    parts["ranking"] = f"select * from ({core['average_precision']}), ({core['roc_auc']})"
+    return " union all ".join(long(k, v) for k, v in parts.items())
+
+
+def _sensitivity() -> str:
+    one = lambda w: f"select term, z_score from (with {O.keyness_sql(w)} select term, z_score from ky)"
+    top = lambda t: f"(select term from {t} order by z_score desc, term limit 10) union (select term from {t} order by z_score, term limit 10)"
+    return f"with a as ({one('tier = ' + repr('HIGH'))}), b as ({one('p >= 0.5')}), t as ({top('a')} union {top('b')}) select t.term, a.z_score as tier, b.z_score as score from t left join a on a.term = t.term left join b on b.term = t.term"
+
+
 def _groups(rg: str) -> str:
     keep = lambda x, n: f"case when n_anchor >= 10 then round({x}, 6) end as {n}"
     clip = lambda x: f"case when {x} is not null then least(1, greatest(0, {x})) end"

@@ -305,6 +305,6 @@ def oracle_sql() -> dict[str, str]:
         "prevalence_decomposition": f"with {SAMPLE}, x as (select tier, {rule('mission_text')} as v from sam), o as (select tier, count(*)::double as n, avg(v::double) as o from x where v is not null group by 1) select tier, n, round(o, 6) as estimate, round(n / sum(n) over (), 6) as share, round(n / sum(n) over () * o, 6) as contribution from o",
         "stage_gates": f"with {EVAL}, {SAMPLE} select 'train_anchor_disjoint' as gate, (select count(*) from (select EIN2 from sam where split = 'train' and EIN2 is not null intersect select EIN2 from sam where split = 'anchor')) as problems union all select 'sample_id_unique', (select count(*) from (select sample_id from sam group by 1 having count(*) > 1)) union all select 'tiers_known', (select count(*) from sam where tier not in ('HIGH', 'MEDIUM', 'LOW')) union all select 'votes_in_range', (select count(*) from votes where confidence < 0 or confidence > 1) union all select 'labels_binary', (select count(*) from ev where y not in (0, 1))",
     }
-    from tallyweave.plans.more_oracle import more_sql
+    from tallyweave.plans.more_oracle import evaluation_report, more_sql
 
-    return shard | more_sql()
+    return shard | more_sql() | {"stage_evaluation": evaluation_report(shard)}
