@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import ngrams, tokens
+from tallyweave.operators import folded
 from tallyweave.session import cut_lineage
 
 
@@ -93,6 +94,19 @@ def score_tfidf(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("prob_raw", vector_to_array("probability")[1]).select(*df.columns, "prob_raw")
 
 
+class TextFit:
+    """``fit_tfidf`` as the fit of ``out_of_fold``, which has the models of all folds from one reading of the texts."""
+
+    def __init__(self, text: str, label: str, c: float = 1.0, **kw):
+        self.text, self.label, self.c, self.kw = text, label, c, kw
+
+    def __call__(self, train: DataFrame) -> PipelineModel:
+        return fit_tfidf(train, self.text, self.label, self.c, **self.kw)
+
+    def scores(self, df: DataFrame, fold: str) -> DataFrame:
+        return folded.scores(df, self.text, self.label, fold, self.c, **self.kw)
+
+
 def fit_embedding(df: DataFrame, vector: str, label: str, c: float = 1.0):
     weighted = class_weights(df, label)
     total = weighted.agg(F.sum("class_weight")).first()[0] or 1.0
@@ -106,7 +120,9 @@ def score_embedding(model, df: DataFrame, vector: str) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, fit, score, fold: str = "fold") -> DataFrame:
-    """Every row scored by a model that has not seen its fold. fit(train) -> model, score(model, rows) -> rows with prob_raw."""
+    """Every row scored by a model that has not seen its fold. fit(train) -> model, score(model, rows) -> rows with prob_raw; a fit that has ``scores`` fits and scores all folds itself."""
+    if hasattr(fit, "scores"):
+        return fit.scores(df, fold)
     out = None
     for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
         part = score(fit(df.filter(F.col(fold) != k)), df.filter(F.col(fold) == k))

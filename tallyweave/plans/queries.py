@@ -746,7 +746,7 @@ def _labelled_texts(spark, d):
 @query
 def tfidf_scores(spark, d):
     x = cut_lineage(_labelled_texts(spark, d))
-    out = ml.out_of_fold(x, lambda tr: ml.fit_tfidf(tr, "text", "y"), lambda m, q: ml.score_tfidf(m, q, "text"))
+    out = ml.out_of_fold(x, ml.TextFit("text", "y"), lambda m, q: ml.score_tfidf(m, q, "text"))
     return rounded(out.select("EIN2", "fold", "y", "prob_raw"), 3)
 
 

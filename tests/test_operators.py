@@ -53,6 +53,29 @@ def test_tfidf_scores_runs_the_operators_settings(spark, monkeypatch):
     assert stages[0].getNumFeatures() == stages[2].getNumFeatures() == 1 << 18 and stages[-1].getMaxIter() == 2000
 
 
+def test_tfidf_scores_fits_all_folds_together(spark, monkeypatch):
+    from tallyweave.plans import queries as Q
+
+    words = "church prays daily city feeds children with food and hope for all people".split()
+    rng = np.random.default_rng(5)
+    data = [(f"{i:02d}", i % 3 // 2, " ".join(rng.choice(words[i % 3 :], 7)) if i else "") for i in range(60)]
+    df = spark.createDataFrame(data, "EIN2 string, y int, text string")
+    x = sampling.folds(df, "y", "EIN2", 2)
+    one = ml.out_of_fold(x, lambda t: ml.fit_tfidf(t, "text", "y", features=1 << 10, max_iter=500), lambda m, q: ml.score_tfidf(m, q, "text"))
+    want = {r["EIN2"]: r["prob_raw"] for r in one.collect()}
+    got = {r["EIN2"]: r["prob_raw"] for r in ml.out_of_fold(x, ml.TextFit("text", "y", features=1 << 10), None).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 5e-3
+    # A fold whose training rows have one label, and labels that are none.
+    apart = {r["fold"]: r["prob_raw"] for r in ml.out_of_fold(df.withColumn("fold", F.col("y")), ml.TextFit("text", "y", features=1 << 10), None).collect()}
+    assert apart == {0: 1.0, 1: 0.0}
+    with pytest.raises(ValueError, match="labels"):
+        ml.out_of_fold(x.withColumn("y", F.col("y") + 1), ml.TextFit("text", "y"), None)
+    monkeypatch.setattr(Q.views, "evaluation", lambda spark, d: df.drop("text"))
+    monkeypatch.setattr(Q, "_texts", lambda spark, d: df.select("EIN2", F.col("text").alias("t")))
+    monkeypatch.setattr(ml, "fit_tfidf", lambda *a, **k: pytest.fail("a fit of its own for each fold"))
+    assert Q.tfidf_scores(spark, "").count() == 59
+
+
 def test_select_arm_has_a_place_for_every_arm(spark, monkeypatch):
     from tallyweave.plans import queries as Q
 
