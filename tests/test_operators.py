@@ -76,6 +76,47 @@ def test_tfidf_scores_fits_all_folds_together(spark, monkeypatch):
     assert Q.tfidf_scores(spark, "").count() == 59
 
 
+def test_tfidf_scores_fits_without_a_job_for_each_pass(spark):
+    rng = np.random.default_rng(6)
+    words = "church prays daily city feeds children with food and hope for all people".split()
+    data = [(f"{i:03d}", i % 3 // 2, " ".join(rng.choice(words[i % 3 :], 6))) for i in range(200)]
+    x = sampling.folds(spark.createDataFrame(data, "EIN2 string, y int, text string"), "y", "EIN2", 2).localCheckpoint()
+    spark.sparkContext.setJobGroup("fits", "")
+    try:
+        ml.out_of_fold(x, ml.TextFit("text", "y", features=1 << 10), None)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("fits")) <= 12
+
+
+def test_folds_settle_in_few_passes_over_rows_that_share_terms(tmp_path):
+    from tallyweave.operators import folded
+
+    rng = np.random.default_rng(7)
+    rows, at, x = np.zeros(1500, folded.FILES["rows"]), [], np.zeros((1500, 100))
+    for i in range(len(rows)):
+        y = int(rng.random() < 0.2)
+        # One row without terms, one without words; the first places are in almost all rows.
+        words, chars = (np.unique(np.append(rng.integers(0, 4, 6), rng.integers(4 + 10 * y, 40, 3))), np.unique(50 + np.append(rng.integers(0, 5, 8), rng.integers(5, 50, 3)))) if i > 1 else (np.zeros(0, int), np.arange(50, 50 + 3 * i))
+        rows[i] = (i % 2, y, len(words), len(words) + len(chars))
+        at += [words, chars]
+        for k in (words, chars):
+            x[i, k] = 1
+    np.concatenate(at).astype(np.int32).tofile(tmp_path / "a.at")
+    np.ones(rows["terms"].sum(), np.float32).tofile(tmp_path / "a.n")
+    rows.tofile(tmp_path / "a.rows")
+    rarity, weights = rng.uniform(1, 3, 100).astype(np.float32), np.array([0.6, 2.5])
+    fit = folded._Fit(folded._Rows(f"file://{tmp_path}", ["a"], 1, ""), rarity, weights, 1.0, 1)
+    length, passes = fit.settle(2000)
+    x, y = (x * rarity)[::2], rows["y"][::2]
+    for k in (slice(50), slice(50, 100)):
+        x[:, k] /= np.maximum(np.linalg.norm(x[:, k], axis=1, keepdims=True), 1e-9)
+    w = fit.terms / rarity
+    rate = weights[y] * (1 / (1 + np.exp(-(x @ w + fit.intercept))) - y)
+    slope = np.append(x.T @ rate + w, rate.sum())
+    assert np.linalg.norm(slope) == pytest.approx(length, rel=1e-6) and length <= folded.SETTLED and passes <= 60
+
+
 def test_select_arm_has_a_place_for_every_arm(spark, monkeypatch):
     from tallyweave.plans import queries as Q
 
