@@ -98,12 +98,14 @@ def test_folds_settle_in_few_passes_over_rows_that_share_terms(tmp_path):
         y = int(rng.random() < 0.2)
         # One row without terms, one without words; the first places are in almost all rows.
         words, chars = (np.unique(np.append(rng.integers(0, 4, 6), rng.integers(4 + 10 * y, 40, 3))), np.unique(50 + np.append(rng.integers(0, 5, 8), rng.integers(5, 50, 3)))) if i > 1 else (np.zeros(0, int), np.arange(50, 50 + 3 * i))
-        rows[i] = (i % 2, y, len(words), len(words) + len(chars))
+        rows[i] = (i % 2, y, len(words), 4 if i == 4 else 1, len(words) + len(chars))
         at += [words, chars]
         for k in (words, chars):
             x[i, k] = 1
+        x[4, words[:1] if i == 4 else []] = 300
     np.concatenate(at).astype(np.int32).tofile(tmp_path / "a.at")
-    np.ones(rows["terms"].sum(), np.float32).tofile(tmp_path / "a.n")
+    places = np.split(np.concatenate(at).astype(int), np.cumsum(rows["terms"])[:-1])
+    (tmp_path / "a.n").write_bytes(b"".join(x[i, k].astype(np.float32 if r["size"] == 4 else np.uint8).tobytes() for i, (k, r) in enumerate(zip(places, rows, strict=True))))
     rows.tofile(tmp_path / "a.rows")
     rarity, weights = rng.uniform(1, 3, 100).astype(np.float32), np.array([0.6, 2.5])
     fit = folded._Fit(folded._Rows(f"file://{tmp_path}", ["a"], 1, ""), rarity, weights, 1.0, 1)
